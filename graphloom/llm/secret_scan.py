@@ -21,18 +21,22 @@ from .quality_rules import let
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of pattern, leftmost and not overlapping, whose group has least characters or more."""
+    """A kind of secret: matches of pattern, leftmost and not overlapping, whose group has least characters or more.
+
+    A text in which probe isn't found has no such match; without a probe the pattern itself is looked for.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    probe: str | None = None
 
 
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
 MORE = (
     Rule("github", r"gh[po]_[A-Za-z0-9]{36,}"),
@@ -156,7 +160,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
     pattern = F.lit(rule.pattern)
     found = F.struct(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, 0).alias("all"), F.regexp_extract_all(text, pattern, rule.group).alias("part"))
-    return F.when(F.regexp_like(text, pattern), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(F.regexp_like(text, F.lit(rule.probe or rule.pattern)), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE, *MORE)) -> DataFrame:
