@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import attach, materialize, table, whole_groups, word_count
+from .common import BROADCAST_IDS, attach, materialize, table, whole_groups, word_count
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
 #: Words that dynamic programming fits; hash buckets in which a length's documents are counted.
@@ -149,7 +149,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows of a null id have one fate: the most that one of them has."""
+    """docs with each row as often as the mix takes it. Rows of a null id have one fate: the most that one of them has.
+
+    Only the ids that aren't taken exactly once are sent to docs: broadcast if they are few, by a count, else both shuffle by id.
+    """
     epochs = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.max("epochs").alias("__epochs"))
-    joined = docs.join(materialize(epochs, "mix-epochs"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.filter("__epochs > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*[docs[c] for c in docs.columns])
+    other = materialize(epochs.filter("__epochs != 1"), "mix-epochs")
+    few = F.broadcast(other) if other.count() <= BROADCAST_IDS else other
+    joined = docs.join(few, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__times", F.coalesce("__epochs", F.lit(1)))
+    return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
