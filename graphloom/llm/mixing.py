@@ -1,8 +1,8 @@
 """Mixing sources to target weights by fitting a subset sum to each source's budget.
 
 A source whose target is over its size is taken whole once or twice; what is left of the budget is fitted
-with whole documents. Documents are counted by exact length. Of each length the same share is taken,
-rounded down; the largest lengths that still fit then bring the budget under a bound, and a bounded
+with whole documents. Documents are counted by exact length. But for the last DP_WORDS words of the budget the same
+share of each length is taken, rounded down; the largest lengths that still fit then bring the budget under a bound, and a bounded
 knapsack by dynamic programming over the sums that the remaining lengths reach closes the rest. How many
 documents of a length are taken is thus known, and which ones follows from a seeded hash.
 """
@@ -47,7 +47,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    share = max(0, budget - dp_words)
+    take = np.array([int(c) * share // total for c in counts], np.int64)
     left = budget - int((lengths * take).sum())
     for i in range(len(lengths) - 1, -1, -1):
         if left <= dp_words:
