@@ -24,8 +24,8 @@ from .common import attach, materialize, table, whole_groups, without
 from .components import connected_components
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
-#: Groups up to this size are compared by shifted columns, others by sweeping.
-_SMALL = 32
+#: Groups up to this size are compared by shifted columns, others by sweeping; above the second, band by band.
+_SMALL, _LARGE = 32, 4096
 
 
 def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
@@ -114,6 +114,26 @@ def sweep(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
+def sweep_bands(fp: np.ndarray, segment: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like sweep, for a large group around an anchor of a segment: edges that connect the same positions.
+
+    The bits outside the segment are cut into distance + 1 bands. Fingerprints within distance agree on one
+    of them at least, so only those that agree on a band are swept together; each band adds a forest.
+    """
+    low, one = np.uint64((22, 44, 0)[segment]), np.uint64(1)
+    rest = fp >> low | fp << (np.uint64(64) - low) if low else fp
+    cuts = np.linspace(0, 44 if segment == 2 else 42, distance + 2).astype(np.uint64)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        band = rest >> lo & ((one << (hi - lo)) - one)
+        order = np.argsort(band, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            x, y = sweep(fp[part], distance)
+            a.append(part[x])
+            b.append(part[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """classes (fp, rep), each fp once. Edges (a, b) between reps that connect all fingerprints within distance.
 
@@ -146,7 +166,8 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 a.append(i)
                 b.append(i + shift)
             for g in np.flatnonzero(sizes > _SMALL):
-                x, y = sweep(fp[starts[g] : starts[g] + sizes[g]], distance)
+                part = fp[starts[g] : starts[g] + sizes[g]]
+                x, y = sweep(part, distance) if len(part) <= _LARGE else sweep_bands(part, int(anchor[starts[g]]) >> 32, distance)
                 a.append(x + starts[g])
                 b.append(y + starts[g])
             if a and len(i := np.concatenate(a)):

@@ -301,3 +301,30 @@ def test_pipeline(spark):
         assert last.columns == docs.columns, name
     assert sorted(r.doc_id for r in last.collect()) == sorted(i for i, c in group.items() if i == c)
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+@pytest.mark.parametrize("segment", [0, 1, 2])
+def test_simhash_bands_connect_what_a_sweep_connects(segment):
+    rng = np.random.default_rng(segment)
+    seeds = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    fixed = np.uint64(((1 << 22) - 1, ((1 << 22) - 1) << 22, ((1 << 20) - 1) << 44)[segment])
+    fp = (seeds[rng.integers(0, 60, 3000)] & ~fixed) | (seeds[0] & fixed)
+    for _ in range(3):
+        fp ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    fp = np.unique(fp)
+
+    def roots(a, b):
+        root = np.arange(len(fp))
+        while True:
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            np.minimum.at(new, b, root[a])
+            new = new[new]
+            if (new == root).all():
+                return root
+            root = new
+
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.DISTANCE)
+    x, y = simhash.sweep_bands(fp, segment, simhash.DISTANCE)
+    assert (np.bitwise_count(fp[x] ^ fp[y]) <= simhash.DISTANCE).all()
+    assert (roots(x, y) == roots(i, j)).all() and 1 < len(np.unique(roots(x, y))) < len(fp)
