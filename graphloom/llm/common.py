@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -123,6 +124,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[s
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
+def release_memory() -> None:
+    """Give what Arrow and the C library hold unused back to the system; Python workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded(df: DataFrame, key: Column, bound: int) -> DataFrame:
     """A seeded sample by key that holds about bound rows at most, all of df if that has fewer."""
     n = df.count()

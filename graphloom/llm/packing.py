@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release_memory, table
 
 TOKENS, SEGMENTS, END_ID = 2048, 64, 1
 #: Ids that a task packs at a time, and the shortest piece that is cut to fill a sequence.
 WINDOW_IDS, LEAST_PIECE = 1 << 21, 8
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers; words that are merged at a time.
+CACHE_WORDS, MERGE_WORDS = 600_000, 1 << 12
 
 
 def tokenizer_path() -> str:
@@ -137,8 +138,8 @@ class WordIds(dict):
                 odd.append(word)
         odd += [x for x in ".,;:!?" if x not in self]
         todo = sorted(letters, key=len)
-        for k in range(0, len(todo), 1 << 14):
-            part = todo[k : k + (1 << 14)]
+        for k in range(0, len(todo), MERGE_WORDS):
+            part = todo[k : k + MERGE_WORDS]
             self.update(zip(part, self.merge([letters[w] for w in part]), strict=True))
         if odd:
             self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True))
@@ -249,7 +250,8 @@ def pack_documents(
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _known.get(path) or _known.setdefault(path, WordIds(path))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        words = _known[path] if path in _known else _known.setdefault(path, WordIds(path))
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         keep, ids, shares, held = [], [], [], 0
@@ -283,6 +285,7 @@ def pack_documents(
                         yield flush()
         if keep:
             yield flush()
+        release_memory()
 
     share = F.lit(None).cast("double") if loss is None else loss.cast("double")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), share.alias("loss"))
