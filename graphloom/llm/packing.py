@@ -250,6 +250,7 @@ def pack_documents(
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         words = _known[path] if path in _known else _known.setdefault(path, WordIds(path))
         end = np.array([end_id], "<u4").tobytes()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, table, whole_groups, without
+from .common import attach, materialize, release_memory, table, whole_groups, without
 from .components import connected_components
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             prints = np.fromiter((fingerprint(x or b"", width) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        release_memory()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, fp long")
@@ -150,6 +151,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for k in range(0, len(i), 1 << 17):
                 part = i[k : k + (1 << 17)]
                 yield pa.record_batch([pa.array(anchor[k : k + (1 << 17)]), pa.array(fp[part]), pa.array(rep[part])], names=["anchor", "fp", "rep"])
+        release_memory()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_groups(batches, "anchor"):
@@ -172,6 +174,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 b.append(y + starts[g])
             if a and len(i := np.concatenate(a)):
                 yield pa.record_batch([pa.array(rep[i]), pa.array(rep[np.concatenate(b)])], names=["a", "b"])
+        release_memory()
 
     replicas = classes.select("fp", "rep").mapInArrow(spread, "anchor long, fp long, rep long")
     dealt = replicas.repartition("anchor").sortWithinPartitions("anchor", "rep")
