@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +18,25 @@ from .common import release_memory, table
 TOKENS, SEGMENTS, END_ID = 2048, 64, 1
 #: Ids that a task packs at a time, and the shortest piece that is cut to fill a sequence.
 WINDOW_IDS, LEAST_PIECE = 1 << 21, 8
-#: Words whose ids a worker remembers; words that are merged at a time.
-CACHE_WORDS, MERGE_WORDS = 600_000, 1 << 12
+#: Bytes of text whose distinct words are coded together, and words that are merged at a time.
+PART_BYTES, MERGE_WORDS = 1 << 21, 1 << 12
+#: Words that are merged here: Latin or Cyrillic letters whose lower case is one letter, then a mark or none.
+MARKS = ".,;:!?"
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-žЀ-џ]+[" + MARKS + "]?$"
 
 
 def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Word -> its ids as bytes, by the tokenizer's own rules.
+class WordIds:
+    """The ids of many texts at a time, by the tokenizer's own rules.
 
     The tokenizer drops white space and treats what stands between apart, so a text's ids are its words' ids
-    in order. Words of letters only are merged here, many at a time in numpy, by the tokenizer file's own
-    vocabulary and merges; any other word is given to the library. Tests hold both to the library's ids.
+    in order. Each distinct word is coded once per call and none is remembered: what is held follows from the
+    texts of one call. Words of Latin or Cyrillic letters, with a punctuation mark or none at their end, are
+    merged here, many at a time in numpy, by the tokenizer file's own vocabulary and merges; any other word is
+    given to the library. Tests hold both to the library's ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,7 +44,6 @@ class WordIds(dict):
 
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())["model"]
         vocab = model["vocab"]
@@ -77,74 +80,84 @@ class WordIds(dict):
             miss = miss[(self.keys[slot[miss]] != key[miss]) & (self.keys[slot[miss]] >= 0)]
         return np.where(self.keys[slot] == key, self.rank[slot], 1 << 30).reshape(shape), self.made[slot].reshape(shape)
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of at most 48 bytes: at each step each word's first pair of the lowest rank is merged.
+    def merge(self, data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and numbers of ids, of the words at data[at : at + n] (n over 0).
 
-        A merged pair's second place dies; links to the next and previous living place spare moving the rest.
+        At each step each word's first pair of the lowest rank is merged. A merged pair's second place dies;
+        links to the next and previous living place spare moving the rest.
         """
-        n = np.array([len(w) for w in words])
         width = int(n.max())
-        rows, col = np.arange(len(words)), np.arange(width)
+        rows, col = np.arange(len(n)), np.arange(width)
         alive = col < n[:, None]
-        raw = np.zeros(alive.shape, np.int64)
-        raw[alive] = np.frombuffer(b"".join(words), np.uint8)
+        raw = np.zeros(alive.shape, np.uint8)
+        raw[alive] = data[spans(at, n)]
         ids = self.byte_id[raw, 0]
         ids[rows, n - 1] = self.byte_id[raw[rows, n - 1], 1]
         none = 1 << 30
         rank, made = np.full(alive.shape, none, np.int32), np.zeros(alive.shape, np.int32)
         pair = col[:-1] < n[:, None] - 1
         rank[:, :-1][pair], made[:, :-1][pair] = self._find(ids[:, :-1][pair] << 16 | ids[:, 1:][pair])
-        after, ahead = np.tile(col + 1, (len(words), 1)), np.tile(col - 1, (len(words), 1))
+        after, ahead = np.tile(col + 1, (len(n), 1)), np.tile(col - 1, (len(n), 1))
         live = rows
         while len(live):
-            at = rank[live].argmin(1)
-            live, at = (x[rank[live, at] < none] for x in (live, at))
+            best = rank[live].argmin(1)
+            live, best = (x[rank[live, best] < none] for x in (live, best))
             if not len(live):
                 break
-            dead = after[live, at]
+            dead = after[live, best]
             follow = after[live, dead]
-            ids[live, at] = made[live, at]
+            ids[live, best] = made[live, best]
             alive[live, dead], rank[live, dead] = False, none
-            after[live, at] = follow
+            after[live, best] = follow
             last = follow >= n[live]
-            ahead[live[~last], follow[~last]] = at[~last]
-            before = ahead[live, at]
+            ahead[live[~last], follow[~last]] = best[~last]
+            before = ahead[live, best]
             first = before < 0
             right, left = ~last, ~first
-            rank[live[last], at[last]] = none
-            r, m = self._find(np.concatenate([ids[live[right], at[right]] << 16 | ids[live[right], follow[right]], ids[live[left], before[left]] << 16 | ids[live[left], at[left]]]))
+            rank[live[last], best[last]] = none
+            r, m = self._find(np.concatenate([ids[live[right], best[right]] << 16 | ids[live[right], follow[right]], ids[live[left], before[left]] << 16 | ids[live[left], best[left]]]))
             k = int(right.sum())
-            rank[live[right], at[right]], made[live[right], at[right]] = r[:k], m[:k]
+            rank[live[right], best[right]], made[live[right], best[right]] = r[:k], m[:k]
             rank[live[left], before[left]], made[live[left], before[left]] = r[k:], m[k:]
-        flat, ends = ids[alive].astype("<u4"), np.cumsum(alive.sum(1))
-        return [flat[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def learn(self, words: list[str]) -> None:
-        """Make sure that all words are known."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        letters, odd, tails = {}, [], []
-        for word in words:
-            if word in self:
-                continue
-            stem = word[:-1] if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() else word
-            low = stem.lower()
-            plain = stem.isalpha() and max(stem) < "\u0600" and len(low) == len(stem) and "\u03a3" not in stem and unicodedata.is_normalized("NFC", stem)
-            if plain and len(raw := low.encode()) <= 48:
-                if low not in self:
-                    letters[low] = raw
-                tails.append((word, low, word[len(stem) :]))
-            else:
-                odd.append(word)
-        odd += [x for x in ".,;:!?" if x not in self]
-        todo = sorted(letters, key=len)
-        for k in range(0, len(todo), MERGE_WORDS):
-            part = todo[k : k + MERGE_WORDS]
-            self.update(zip(part, self.merge([letters[w] for w in part]), strict=True))
-        if odd:
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True))
-        for word, low, tail in tails:
-            self[word] = self[low] + self[tail] if tail else self[low]
+        return ids[alive].astype("<u4"), alive.sum(1)
+
+    def stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, number of ids) of distinct words that are merged here; the shortest are merged first."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        at, size = offsets[:-1], np.diff(offsets)
+        data, found, n = np.frombuffer(data, np.uint8), [np.empty(0, "<u4")], np.zeros(len(words), np.int64)
+        order = np.argsort(size, kind="stable")
+        for k in range(0, len(order), MERGE_WORDS):
+            part = order[k : k + MERGE_WORDS]
+            ids, n[part] = self.merge(data, at[part], size[part])
+            found.append(ids)
+        begin = np.empty_like(n)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(found), begin, n
+
+    def code(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of distinct words, one word after the other."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.less_equal(pc.binary_length(words), 48))
+        mask = plain.to_numpy(zero_copy_only=False)
+        ours, others = np.flatnonzero(mask), np.flatnonzero(~mask)
+        low = pc.utf8_lower(words.filter(plain))
+        stem = pc.utf8_rtrim(low, MARKS)
+        tail = (pc.binary_length(low).to_numpy() > pc.binary_length(stem).to_numpy()).astype(np.int64)
+        coded = stem.dictionary_encode()
+        flat, begin, count = self.stems(coded.dictionary)
+        which = coded.indices.to_numpy()
+        rest = [e.ids for e in self.tokenizer.encode_batch(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        n = np.zeros(len(words), np.int64)
+        n[ours], n[others] = count[which] + tail, list(map(len, rest))
+        out, start = np.empty(int(n.sum()), "<u4"), np.cumsum(n) - n
+        out[spans(start[ours], count[which])] = flat[spans(begin[which], count[which])]
+        marked = tail > 0
+        marks = pc.utf8_slice_codeunits(low.filter(pa.array(marked)), -1).dictionary_encode()
+        mark_ids = np.array([self.byte_id[ord(x), 1] for x in marks.dictionary.to_pylist()], "<u4")
+        out[(start + n - 1)[ours[marked]]] = mark_ids[marks.indices.to_numpy()]
+        out[spans(start[others], n[others])] = [i for ids in rest for i in ids]
+        return out, n
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the place where each text's ids end. Null is empty."""
@@ -153,17 +166,27 @@ class WordIds(dict):
             texts = pc.replace_substring(texts, blank, " ")
         words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        found = [self[w] for w in distinct]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        n = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        begin = np.cumsum(n) - n
+        flat, n = self.code(coded.dictionary)
         index = coded.indices.to_numpy()
         each = n[index]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(begin[index] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.r_[0, ends][words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+        ids = flat[spans((np.cumsum(n) - n)[index], each)]
+        return ids, np.r_[0, np.cumsum(each)][words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n numbers each, one span after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of rows whose strings in a column have most bytes together, or one row more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
+        yield batch.slice(at, to - at)
+        at = to
 
 
 _known: dict[str, WordIds] = {}
@@ -274,8 +297,7 @@ def pack_documents(
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for part in parts(batch, 1, PART_BYTES):
                 flat, ends = words.ids(part.column(1))
                 for i, a, b, y in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), part.column(2).to_pylist(), strict=True):
                     keep.append(i)

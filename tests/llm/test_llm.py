@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -139,6 +140,22 @@ def test_packing(docs, plain, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_word_ids_are_the_library_s():
+    words, rng = packing.WordIds(packing.tokenizer_path()), random.Random(1)
+    letters = [c for c in map(chr, range(0x20, 0x3000)) if re.match(packing.PLAIN, c)]
+    some = [*letters, *(a + b for a in letters for b in "aez.,")]
+    some += ["".join(rng.choices(letters, k=rng.randint(1, 30))) + rng.choice(["", ".", ",", "!", ".."]) for _ in range(5000)]
+    some += ["".join(rng.choices("abcdefghijklm'.,#1é ßİſΣ\u0301漢\U0001f642\x0b\x0c\xa0\x00", k=rng.randint(1, 12))) for _ in range(5000)]
+    rows = [*(" ".join(some[i : i + 7]) for i in range(0, len(some), 7)), "", None, "\n", "a\n\tb\r\nc", "x" * 60, "é" * 25, "<|endoftext|> a"]
+    flat, ends = words.ids(pa.array(rows))
+    assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in rows]
+    batch = pa.record_batch([pa.array(rows)], names=["text"])
+    for most in (1, 100, 1 << 30):
+        cut = list(packing.parts(batch, 0, most))
+        assert pa.Table.from_batches(cut).column(0).to_pylist() == rows and all(x.num_rows for x in cut)
+    assert [x.tolist() for x in words.ids(pa.array([], pa.string()))] == [[], []]
+
+
 def test_packing_keeps_three_limits():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 900, 500)
