@@ -16,7 +16,7 @@ from .graphs import components
 
 #: Promotion weights and thresholds, gates.
 PROMOTION_WEIGHTS = {"recency": 0.25, "staleness": 0.10, "confirmation": 0.25, "confidence": 0.20, "frequency": 0.20}
-MIN_COHESION, MIN_SIZE, MAX_SIZE, SHARED_CONTENT = 0.4, 3, 200, 2
+MIN_COHESION, MIN_EXTERNAL, MIN_SIZE, MAX_SIZE, SHARED_CONTENT = 0.4, 0.95, 3, 200, 2
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "have", "not", "his", "her", "you", "but")
 CONTRADICTIONS = (
     (("stopped", "quit", "abandoned", "dropped", "ended"), ("started", "began", "made", "created", "produced", "presented")),
@@ -107,16 +107,21 @@ def cohesion(member: DataFrame, embedding: DataFrame) -> DataFrame:
 
 
 def gates(member: DataFrame, thought: DataFrame, cohesive: DataFrame) -> DataFrame:
-    """(cluster_id, rejected_by): the first gate that a cluster fails, or null."""
-    rows = member.join(thought.select("thought_id", "content", "source_type", "content_hash"), "thought_id")
+    """(cluster_id, rejected_by): the first gate that a cluster fails, or null.
+
+    A record is the agent's own only if its metadata says so by a boolean at source.is_self; any other is external.
+    """
+    rows = member.join(thought.select("thought_id", "content", "source_type", "content_hash", "metadata_json"), "thought_id")
     copies = rows.groupBy("cluster_id", "content_hash").agg(F.count("*").alias("n")).groupBy("cluster_id").agg(F.sum(F.when(F.col("n") >= SHARED_CONTENT, F.col("n")).otherwise(0)).alias("copies"))
     words = rows.select("cluster_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^a-z']+"))).alias("w"))
     told = [F.bool_or(F.col("w").isin(*side)) for pair in CONTRADICTIONS for side in pair]
     sides = words.groupBy("cluster_id").agg(*[c.alias(f"s{i}") for i, c in enumerate(told)])
     clash = (F.col("s0") & F.col("s1")) | (F.col("s2") & F.col("s3")) | (F.col("s4") & F.col("s5"))
     own = rows.groupBy("cluster_id").agg(F.avg((F.col("source_type") == "DREAMING").cast("double")).alias("own"))
-    first = F.when(F.col("copies") > 0, "duplicate").when(F.col("own") >= 0.75, "persona").when(clash, "contradiction").when(F.col("cohesion") < MIN_COHESION, "cohesion")
-    return copies.join(own, "cluster_id").join(sides, "cluster_id").join(cohesive, "cluster_id").select("cluster_id", first.alias("rejected_by"))
+    is_self = F.from_json("metadata_json", "source struct<is_self: boolean>")["source"]["is_self"]
+    external = rows.groupBy("cluster_id").agg(F.avg(F.when(is_self, 0.0).otherwise(1.0)).alias("external"))
+    first = F.when(F.col("copies") > 0, "duplicate").when(F.col("own") >= 0.75, "persona").when(clash, "contradiction").when(F.col("cohesion") < MIN_COHESION, "cohesion").when(F.col("external") < MIN_EXTERNAL, "external")
+    return copies.join(own, "cluster_id").join(external, "cluster_id").join(sides, "cluster_id").join(cohesive, "cluster_id").select("cluster_id", first.alias("rejected_by"))
 
 
 def keywords(rows: DataFrame, top: int) -> DataFrame:

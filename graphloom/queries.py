@@ -212,12 +212,13 @@ def _(g: Graph) -> DataFrame:
 _SIDES = ", ".join(f"bool_or(w IN ({', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in side)})) AS s{i}" for i, side in enumerate(side for pair in C.CONTRADICTIONS for side in pair))
 
 
-@query("m11_gates", _CLUSTERS + _COHESION + f""", r AS (SELECT cluster_id, thought_id, content, source_type, content_hash FROM m JOIN thought USING (thought_id)),
+@query("m11_gates", _CLUSTERS + _COHESION + f""", r AS (SELECT cluster_id, thought_id, content, source_type, content_hash, metadata_json FROM m JOIN thought USING (thought_id)),
 k AS (SELECT cluster_id, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS copies FROM (SELECT cluster_id, content_hash, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1),
 o AS (SELECT cluster_id, avg(CASE WHEN source_type = 'DREAMING' THEN 1.0 ELSE 0.0 END) AS own FROM r GROUP BY 1),
+e AS (SELECT cluster_id, avg(CASE WHEN CAST(json_extract({_JSON}, '$.source.is_self') AS VARCHAR) = 'true' THEN 0.0 ELSE 1.0 END) AS external FROM r GROUP BY 1),
 x AS (SELECT cluster_id, {_SIDES} FROM (SELECT cluster_id, unnest(regexp_split_to_array(lower(content), '[^a-z'']+')) AS w FROM r) GROUP BY 1)
-SELECT cluster_id, CASE WHEN copies > 0 THEN 'duplicate' WHEN own >= 0.75 THEN 'persona' WHEN (s0 AND s1) OR (s2 AND s3) OR (s4 AND s5) THEN 'contradiction' WHEN cohesion < 0.4 THEN 'cohesion' END AS rejected_by
-FROM k JOIN o USING (cluster_id) JOIN x USING (cluster_id) JOIN h USING (cluster_id)""", "thought", "embedding")
+SELECT cluster_id, CASE WHEN copies > 0 THEN 'duplicate' WHEN own >= 0.75 THEN 'persona' WHEN (s0 AND s1) OR (s2 AND s3) OR (s4 AND s5) THEN 'contradiction' WHEN cohesion < 0.4 THEN 'cohesion' WHEN external < 0.95 THEN 'external' END AS rejected_by
+FROM k JOIN o USING (cluster_id) JOIN e USING (cluster_id) JOIN x USING (cluster_id) JOIN h USING (cluster_id)""", "thought", "embedding")
 def _(g: Graph) -> DataFrame:
     member = _members(g)
     return C.gates(member, g.thought, C.cohesion(member, g.embedding))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.metadata import equals, matches, visible
 from graphloom.functions.scoring import SEARCH_WEIGHTS, cosine, redistribute
 from graphloom.functions.temporal import valid_at, valid_between, valid_within
+from graphloom.operators import consolidation
 from graphloom.operators import retrieval as R
 from graphloom.operators import store as S
 from graphloom.operators.graphs import components
@@ -73,3 +74,12 @@ def test_components(spark):
     pairs = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x1", "x2")]
     got = {r.thought_id: r.cluster_id for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert len(got) == 63 and {v for k, v in got.items() if k[0] == "n"} == {"n000"} and got["x2"] == "x1"
+
+
+@pytest.mark.parametrize(("metadata", "want"), [('{"source": {"is_self": true}}', "external"), ('{"source": {"is_self": "true"}}', None), ('{"source": {"is_self": false}}', None), ('{"source": "me"}', None), ("{broken", None), (None, None)])
+def test_a_cluster_of_own_records_is_not_external(spark, metadata, want):
+    member = spark.createDataFrame([(i, "a") for i in "abc"], "thought_id string, cluster_id string")
+    schema = "thought_id string, content string, source_type string, content_hash string, metadata_json string"
+    thought = spark.createDataFrame([(i, f"text {i}", "OBSERVATION", i, metadata if i == "a" else None) for i in "abc"], schema)
+    cohesive = spark.createDataFrame([("a", 1.0)], "cluster_id string, cohesion double")
+    assert [r.rejected_by for r in consolidation.gates(member, thought, cohesive).collect()] == [want]
