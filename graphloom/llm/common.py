@@ -93,6 +93,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, n_rows: in
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(groups.filter(F.col(weight) <= limit), key))
 
 
+#: The column that numbers the rows of a table, so that a stage can decide by row where ids are null or repeated.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written with a number of its own for each row: numbers made by a lazy plan could change between two reads."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 #: So many ids at most are broadcast: 8 MB of them.
 BROADCAST_IDS = 1_000_000
 

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, stripped, table, without
+from .common import ROW, attach, materialize, numbered, stripped, table, without
 
 #: Bits of the filter for each row, and at most. Beyond the most, more unique rows are sent on; results stay whole.
 BITS_A_ROW, MAX_BITS = 16, 1 << 28
@@ -73,25 +73,18 @@ def _block_row(block: int, twice: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([block]), pa.array([np.packbits(twice, bitorder="little").tobytes()])], names=["block", "bits"])
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, n_points) of every row."""
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, sha, n_points, more columns) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(stripped(text).cast("binary"), 256).alias("sha"), F.char_length(text).cast("long").alias("n_points"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(stripped(text).cast("binary"), 256).alias("sha"), F.char_length(text).cast("long").alias("n_points"), *more)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, sha) per row of docs.
-
-    Null counts as empty text, and empty texts are equal. Of equal texts the row with the most code points,
-    then the smallest id, stays. An id names a document: rows that repeat the kept one's id and length are
-    that document, and each says kept. A null id comes last, and a group of null ids keeps its rows. Extra
-    columns are not read. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = materialize(digest(docs, id_col, text_col).withColumn("h", F.xxhash64("sha")), "digest")
+def told_apart(digests: DataFrame) -> tuple[DataFrame, int]:
+    """(digests, written, with maybe: false if no other row has the sha; rows)."""
+    rows = materialize(digests.withColumn("h", F.xxhash64("sha")), "digest")
     n = rows.count()
     found, bits = repeated_filter(rows.select("h"), n)
-    shared = spark.sparkContext.broadcast(found)
+    shared = digests.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf("boolean")
     def maybe(h):
@@ -101,11 +94,26 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return pd.Series(hit[: len(h)] & hit[len(h) :])
 
-    told = materialize(rows.withColumn("maybe", maybe("h")).drop("h"), "digest-told")
+    return materialize(rows.withColumn("maybe", maybe("h")).drop("h"), "digest-told"), n
+
+
+def _best(*more: str) -> Column:
+    """What is smallest for the row that stays: most code points, then the smallest id, a null id last."""
+    return F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), *more)
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, sha) per row of docs.
+
+    Null counts as empty text, and empty texts are equal. Of equal texts the row with the most code points,
+    then the smallest id, stays. An id names a document: rows that repeat the kept one's id and length are
+    that document, and each says kept. A null id comes last, and a group of null ids keeps its rows. Extra
+    columns are not read. An empty table gives an empty result.
+    """
+    told, n = told_apart(digest(docs, id_col, text_col))
     single = told.filter("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     sent = told.filter("maybe").select("doc_id", "sha", "n_points")
-    best = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))
-    groups = materialize(sent.groupBy("sha").agg(F.min(best).alias("best"), F.count("*").alias("group_size")).select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"), "digest-groups")
+    groups = materialize(sent.groupBy("sha").agg(F.min(_best()).alias("best"), F.count("*").alias("group_size")).select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"), "digest-groups")
     joined = attach(sent, groups, "sha", "group_size", n)
     return single.unionByName(joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))).alias("kept"), "sha"))
 
@@ -123,5 +131,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less every row whose text another row keeps."""
-    return without(docs, id_col, exact_duplicates(docs, id_col, text_col).filter("NOT kept").select("doc_id"))
+    """One row of docs per text, equal as in exact_duplicates, whatever the ids: of rows that repeat an id and text one stays,
+    a null id's row goes if another row has its text, and rows of one id with different texts are judged one by one."""
+    rows = numbered(docs, "digest-rows")
+    sent = told_apart(digest(rows, id_col, text_col, ROW))[0].filter("maybe")
+    kept = sent.groupBy("sha").agg(F.min(_best(ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return without(rows, ROW, sent.select(ROW).join(kept, ROW, "left_anti")).drop(ROW)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_IDS, attach, materialize, table, whole_groups, word_count
+from .common import BROADCAST_IDS, ROW, attach, materialize, numbered, table, whole_groups, word_count
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
 #: Words that dynamic programming fits; hash buckets in which a length's documents are counted.
@@ -86,8 +86,9 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     total_share: float = TOTAL_SHARE,
     seed: int = SEED,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, epochs) per row of docs; epochs, 0 to 2, is how often the mix takes it.
+    """(doc_id, size, source_size, target, epochs, more columns) per row of docs; epochs, 0 to 2, is how often the mix takes it.
 
     Null counts as empty text and as a source of its own, the last. Rows of one length and source are ranked
     by a hash of the id; rows that repeat an id are ranked one after the other. Documents without a word are
@@ -98,7 +99,7 @@ def mix(
     rows = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"),
+            F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), *more,
         ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")),
         "mix",
     )
@@ -134,13 +135,13 @@ def mix(
         "mix-cuts",
     )
     chosen = materialize(attach(open_, groups, "of", "weight", sum(r["n"] for r in found)), "mix-chosen")
-    edge = chosen.filter("bucket = cut").withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy("h", "doc_id")))
+    edge = chosen.filter("bucket = cut").withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy("h", "doc_id", *more)))
     out = [
         chosen.filter("bucket != cut").withColumn("more", (F.col("bucket") < F.col("cut")).cast("int")),
         edge.withColumn("more", (F.col("rank") <= F.col("part")).cast("int")),
         keyed.filter("size = 0 OR budget = 0").withColumn("more", F.lit(0)),
     ]
-    one = [x.select("doc_id", "size", "source_size", "target", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + F.col("more")).alias("epochs")) for x in out]
+    one = [x.select("doc_id", "size", "source_size", "target", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + F.col("more")).alias("epochs"), *more) for x in out]
     return one[0].unionByName(one[1]).unionByName(one[2])
 
 
@@ -150,12 +151,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows of a null id have one fate: the most that one of them has.
+    """docs with each row as often as the mix takes it, also where ids are null or repeated: rows meet by their number.
 
-    Only the ids that aren't taken exactly once are sent to docs: broadcast if they are few, by a count, else both shuffle by id.
+    Only the rows that aren't taken exactly once are sent to docs: broadcast if they are few, by a count, else both shuffle by number.
     """
-    epochs = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.max("epochs").alias("__epochs"))
+    rows = numbered(docs, "mix-numbered")
+    epochs = mix(rows, id_col, text_col, source_col, more=(ROW,)).select(ROW, F.col("epochs").alias("__epochs"))
     other = materialize(epochs.filter("__epochs != 1"), "mix-epochs")
     few = F.broadcast(other) if other.count() <= BROADCAST_IDS else other
-    joined = docs.join(few, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__times", F.coalesce("__epochs", F.lit(1)))
-    return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    joined = rows.join(few, ROW, "left").withColumn("__times", F.coalesce("__epochs", F.lit(1)))
+    return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

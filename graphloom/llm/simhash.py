@@ -17,10 +17,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, release_memory, table, whole_groups, without
+from .common import ROW, attach, materialize, numbered, release_memory, table, whole_groups, without
 from .components import connected_components
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
@@ -45,17 +45,17 @@ def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): one row per row of docs, fp the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, *more: str) -> DataFrame:
+    """(doc_id, fp, more long columns): one row per row of docs, fp the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x or b"", width) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
         release_memory()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
+    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in ("doc_id", "fp", *more)))
 
 
 @lru_cache
@@ -181,6 +181,14 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def components(prints: DataFrame, node: str, distance: int, *more: Column) -> DataFrame:
+    """(fp, n, component_id, more aggregates) per fingerprint; component_id is the smallest node reachable over links."""
+    classes = materialize(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n"), *more), "simhash-classes")
+    roots = connected_components(links(classes, distance), "simhash-links")
+    out = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    return materialize(out.drop("rep", "root"), "simhash-groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs, component_id the smallest id reachable over links.
 
@@ -190,12 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
     known = prints.filter("doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
-    roots = connected_components(links(classes, distance), "simhash-links")
-    groups = materialize(
-        classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")),
-        "simhash-groups",
-    )
+    groups = components(known, "doc_id", distance)
     total = prints.count()
     return (
         attach(known, groups, "fp", "n", total)
@@ -210,6 +213,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less all near duplicates but the one with the smallest id of each component; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without(docs, id_col, found.filter("doc_id != component_id").select("doc_id"))
+    """One row of docs per component of near duplicates, the one with the smallest id. Rows are linked by number, so
+    rows of a null id, which come last, and rows that repeat an id are linked and dropped like any other."""
+    rows = numbered(docs, "simhash-rows")
+    prints = materialize(fingerprints(rows, id_col, text_col, WIDTH, ROW), "simhash")
+    best = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), ROW)
+    groups = components(prints, ROW, DISTANCE, F.min(best).alias("best"))
+    kept = groups.groupBy("component_id").agg(F.min("best").alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return without(rows, ROW, prints.select(ROW).join(kept, ROW, "left_anti")).drop(ROW)

@@ -320,6 +320,54 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, d).count() > 0
 
 
+def test_stages_decide_by_row(spark):
+    """Rows with null and repeated ids, and an id of two texts, through stages 2 to 5."""
+    rng = random.Random(9)
+    prose = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=rng.randint(30, 60))) for _ in range(60)]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(prose)]
+    rows += [(3, prose[3], "b")] * 2 + [(7, prose[8], "a"), (None, prose[9], "b"), (None, "null " + prose[10], "b"), (None, "null " + prose[10] + "\n", "b")]
+    rows += [(70, prose[20].upper(), "a"), (None, prose[21].upper(), "b"), (None, prose[22].upper(), "a"), (5, prose[23].upper(), "b")]
+    rows += [(None, " ".join(rng.choices(prose[0].split() + prose[1].split(), k=n)), "b") for n in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)):
+        best.setdefault(re.sub(r"[\x20\x09-\x0d]", "", r[1]), r)
+    exact = exact_dedup.drop_copies(docs)
+    assert sorted(map(tuple, exact.collect()), key=key) == sorted(best.values(), key=key)
+    left = sorted(best.values(), key=key)
+    group = list(range(len(left)))
+    prints = [slow_fingerprint(r[1]) for r in left]
+    for i in range(len(left)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    near = simhash.keep_one(exact)
+    assert sorted(map(tuple, near.collect()), key=key) == [r for i, r in enumerate(left) if group[i] == i]
+    # Mixing and packing see all rows again, copies too.
+    taken = [r.asDict() for r in mixing.mix(docs).collect()]
+    mixed = mixing.repeat_documents(docs)
+    out = Counter(map(tuple, mixed.collect()))
+    assert mixed.columns == docs.columns and max(n // Counter(rows)[r] for r, n in out.items()) <= 2
+    words = Counter()
+    for r, n in out.items():
+        words[r[2]] += n * len(r[1].split())
+    size = Counter()
+    for r in rows:
+        size[r[2]] += len(r[1].split())
+    for (s, total), goal in zip(sorted(size.items()), mixing.targets([size["a"], size["b"]], [3, 1], 1.5 * sum(size.values())), strict=True):
+        assert abs(words[s] - goal) <= 0.5 and goal <= 2 * total, s
+    assert sum(words.values()) == sum(r["size"] * r["epochs"] for r in taken)
+    library = packing.WordIds(packing.tokenizer_path()).tokenizer
+    want = Counter((r[0], len(library.encode(r[1], add_special_tokens=False).ids) + 1) for r in out.elements())
+    pieces = packing.pack_documents(mixed).collect()
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id, p.doc_tokens] += p.length
+    assert got == Counter({k: k[1] * n for k, n in want.items()})
+
+
 @pytest.mark.parametrize("segment", [0, 1, 2])
 def test_simhash_bands_connect_what_a_sweep_connects(segment):
     rng = np.random.default_rng(segment)
