@@ -30,7 +30,6 @@ LEAST_REVISIT = 0
 #: An empty gzip member. Its bytes are ASCII but for two, which Latin-1 keeps.
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _MAGIC = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
-_HEADER_MOST = 1 << 16
 
 
 def _member(data: bytes) -> bytes:
@@ -123,7 +122,7 @@ def _unpack(file: _Bytes, place: int) -> tuple[bytes, int] | None:
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """(headers in lower case, block) of a record; None if data isn't one."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/") or len(head) > _HEADER_MOST:
+    if not gap or not head.startswith(b"WARC/"):
         return None
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}

@@ -206,6 +206,16 @@ def test_warc_round_trip_at_any_cut(spark):
     assert warc.read_archive(spark, none).count() == 0
 
 
+def test_warc_keeps_pages_with_long_urls(spark):
+    urls = {1: "http://a/?q=" + "x" * 100_000, 2: "data:" + " é" * 50_000, 3: "http://b/", 4: "u" * 3_000_000}
+    df = spark.createDataFrame([(i, u, "<p>same</p>" if i < 3 else f"p{i}") for i, u in urls.items()], "page_id long, url string, html string")
+    path = warc.fresh_path(spark, "long")
+    warc.write_archive(df, path)
+    for span in (5000, 1 << 26):
+        got = {r.headers["warc-record-id"]: (r.headers["warc-type"], r.headers["warc-target-uri"]) for r in warc.read_archive(spark, path, span).collect()}
+        assert got == {f"<urn:page:{i}>": ("revisit" if i == 2 else "response", u.replace(" ", "%20")) for i, u in urls.items()}
+
+
 def test_licenses(docs, empty):
     phrases = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
     for r in license_scan.scan(docs).collect():
