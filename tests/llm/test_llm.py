@@ -254,6 +254,32 @@ def test_language_id(docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_languages_of_any_script(spark):
+    """Scripts above U+3000, and rare scripts beside a frequent one, as ranked by a slow version."""
+    rng = random.Random(3)
+    latin = "".join(chr(i) for i in range(0x61, 0x180) if chr(i).isalpha() and chr(i).islower())
+    words = {"la": latin, "zh": "的一是不了人我在有他", "zx": "山水火木金土日月天地", "ko": "가나다라마바사아자차", "el": "αβγδεζηθικ", "he": "אבגדהוזחטי", "xx": "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇"}
+    rows = [(i * 10 + k, " ".join("".join(rng.choices(words[lang], k=4)) for _ in range(60 if lang == "la" else 15)), lang) for i, lang in enumerate(["la"] * 40 + list(words)[1:] * 6) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn(docs.filter("doc_id % 10 > 0"), "text", "lang", "doc_id")
+
+    def slow(texts):
+        count = Counter()
+        for t in texts:
+            line = t.lower() + " "
+            count.update(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1))
+        del count[" "]
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0][::-1].rjust(3, "\0")))]
+
+    tables = {lang: {g: r for r, g in enumerate(slow([t for i, t, x in rows if x == lang and i % 10])[:400])} for lang in words}
+    got = {r.doc_id: r for r in language_id.identify(docs, profiles).collect()}
+    for i, t, lang in rows:
+        own = slow([t])[:300]
+        away = {x: sum(abs(table[g] - r) if g in table else 400 for r, g in enumerate(own)) for x, table in tables.items()}
+        best = min(sorted(away), key=away.get)
+        assert best == lang and (got[i].lang_pred, round(got[i].score, 9)) == (best, round(1 - away[best] / (400 * len(own)), 9))
+
+
 def test_language_accuracy(spark):
     rows = [(r.doc_id, r.held_out, r.lang_pred) for r in language_id.op7_language_id(spark, "/root/testdata/sf0.01").collect()]
     lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
