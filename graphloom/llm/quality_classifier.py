@@ -1,8 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document is a string of bytes. A chunk is CHUNK bytes, and one starts every STRIDE bytes. Learned filters,
-with one weight vector for all places of a chunk, are applied to its bytes' learned embeddings and averaged;
-a further input tells how well a chunk matches itself when shifted by a few bytes. Each filter's largest
+A document is a string of bytes. Learned filters, each with a weight vector of its own for each of KERNEL bytes,
+are applied to the bytes' learned embeddings at every byte. A chunk is CHUNK bytes, and one starts every STRIDE
+bytes; a filter's response to it is the mean, over its bytes, of what is above zero. Each filter's largest
 response over all chunks of the whole document enters a logistic layer.
 """
 
@@ -18,35 +18,20 @@ from pyspark.sql import functions as F
 from .common import bounded, table
 from .language_id import _by_length, held_out
 
-CHUNK, STRIDE, WIDTH, FILTERS = 64, 32, 8, 24
-#: Shifts at which a chunk is held against itself; bytes up to which a short document is filled with PAD.
-LAGS, FILL, PAD = range(2, 25), 256, 256
+CHUNK, STRIDE, WIDTH, FILTERS, KERNEL = 64, 32, 8, 24, 8
+#: Bytes up to which a short document is filled with PAD.
+FILL, PAD = 256, 256
 #: Labelled documents that are learned from, at most; steps and documents a step, the same for any input.
 SAMPLE, STEPS, BATCH, SEED = 4000, 300, 48, 11
 THRESHOLD = 0.3
 
 
 def chunks(raw: bytes) -> np.ndarray:
-    """The document's bytes as whole strides; short ones are filled with PAD, the last stride with the document's start."""
+    """The document's bytes as whole strides; short ones are filled with PAD, the last stride with the document's start. A stride of PAD ends it."""
     b = np.frombuffer(raw, np.uint8).astype(np.int16)
-    if len(b) < FILL:
-        return np.r_[b, np.full(FILL - len(b), PAD, np.int16)]
-    return np.r_[b, np.resize(b, -len(b) % STRIDE)]
-
-
-def self_match(b: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-    """For each stride but the last: the largest share of a chunk's bytes that equal those LAGS bytes before, over all lags.
-
-    first: where documents start, if b has several; bytes of two documents never count as equal.
-    """
-    best = np.zeros(len(b) // STRIDE, np.float32)
-    for lag in LAGS:
-        same = np.zeros(len(b), np.uint8)
-        same[lag:] = (b[lag:] == b[:-lag]) & (b[lag:] != PAD)
-        if first is not None:
-            same[(first[:, None] + np.arange(lag)).ravel()] = 0
-        best = np.maximum(best, same.reshape(-1, STRIDE).sum(1, dtype=np.float32))
-    return (best[1:] + best[:-1]) / CHUNK
+    short = max(0, FILL - len(b))
+    fill = np.full(short, PAD, np.int16) if short else np.resize(b, -len(b) % STRIDE)
+    return np.r_[b, fill, np.full(STRIDE, PAD, np.int16)]
 
 
 class Network:
@@ -54,28 +39,32 @@ class Network:
         rng = np.random.default_rng(seed)
         self.p = {
             "embed": rng.normal(0, 0.3, (257, WIDTH)).astype(np.float32),
-            "filter": rng.normal(0, 0.8, (WIDTH + 1, FILTERS)).astype(np.float32),
+            "filter": rng.normal(0, 0.4, (KERNEL * WIDTH, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
             "out": rng.normal(0, 0.3, FILTERS).astype(np.float32),
             "shift": np.zeros(1, np.float32),
         }
 
-    def respond(self, b: np.ndarray, match: np.ndarray) -> np.ndarray:
-        """Each filter's response to each chunk of a run of strides, before the ReLU."""
-        return self.inputs(b, match) @ self.p["filter"] + self.p["bias"]
-
-    def inputs(self, b: np.ndarray, match: np.ndarray) -> np.ndarray:
-        """Each chunk's mean embedding and self-match."""
-        half = self.p["embed"][b].reshape(-1, STRIDE, WIDTH).sum(1)
-        return np.concatenate([(half[:-1] + half[1:]) / CHUNK, 3 * match[:, None]], 1)
+    def convolve(self, b: np.ndarray) -> np.ndarray:
+        """Each filter's response at each byte but those of the last stride, after the ReLU."""
+        n = len(b) - STRIDE
+        e = self.p["embed"][b[: n + KERNEL - 1]]
+        seen = np.lib.stride_tricks.as_strided(e, (n, KERNEL * WIDTH), (e.strides[0], e.strides[1]))
+        r = np.ascontiguousarray(seen) @ self.p["filter"]
+        r += self.p["bias"]
+        return np.maximum(r, 0, out=r)
+
+    def respond(self, b: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+        """Each filter's response to each chunk of a run of strides, the last of which only ends it."""
+        ends = range(0, len(b) - STRIDE, block)
+        half = np.concatenate([self.convolve(b[k : k + block + STRIDE]).reshape(-1, STRIDE, FILTERS).sum(1) for k in ends])
+        return (half[:-1] + half[1:]) / CHUNK
 
     def pooled(self, raw: bytes, block: int = 1 << 16) -> np.ndarray:
         """Each filter's largest response over the document, block by block."""
-        b = chunks(raw)
-        match, most = self_match(b), np.full(FILTERS, -np.inf, np.float32)
-        for k in range(0, len(b) - STRIDE, block):
-            part = b[k : k + block + STRIDE]
-            most = np.maximum(most, self.respond(part, match[k // STRIDE :][: len(part) // STRIDE - 1]).max(0))
+        b, most = chunks(raw), np.zeros(FILTERS, np.float32)
+        for k in range(0, len(b) - 2 * STRIDE, block):
+            most = np.maximum(most, self.respond(b[k : k + block + 2 * STRIDE]).max(0))
         return most
 
     def scores(self, raws: list[bytes]) -> np.ndarray:
@@ -91,16 +80,13 @@ class Network:
             if to == at + 1:
                 most = self.pooled(raws[at])[None]
             else:
-                b = np.concatenate(parts[at:to])
                 n = np.array([len(x) // STRIDE for x in parts[at:to]])
-                # Chunks that straddle two documents are left out of each one's maximum.
+                # Chunks that reach into a document's end or the next document are left out of the maximum.
                 first = np.cumsum(n) - n
-                r = self.respond(b, self_match(b, first * STRIDE))
-                r = np.vstack([r, np.full((1, FILTERS), -np.inf, np.float32)])
-                r[first[1:] - 1] = -np.inf
+                r = self.respond(np.concatenate(parts[at:to]))
+                r[np.r_[first[1:] - 2, first[1:] - 1]] = 0
                 most = np.maximum.reduceat(r, first)
-            hidden = np.maximum(most, 0)
-            out[at:to] = 1 / (1 + np.exp(-np.clip(hidden @ self.p["out"] + self.p["shift"], -30, 30)))
+            out[at:to] = 1 / (1 + np.exp(-np.clip(most @ self.p["out"] + self.p["shift"], -30, 30)))
             at = to
         return out
 
@@ -108,33 +94,35 @@ class Network:
         """Adam on the log loss, both labels drawn equally often; only the chunks that win the maximum get a gradient."""
         rng = np.random.default_rng(seed)
         parts = [chunks(r) for r in raws]
-        matches = [self_match(b) for b in parts]
         one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
             picked = np.r_[rng.choice(one, batch // 2), rng.choice(zero, batch // 2)]
             g = {k: np.zeros_like(x) for k, x in self.p.items()}
+            pull = np.zeros(KERNEL * 257 * FILTERS)  # of each byte at each place of each filter
             for i in picked:
-                b, match = parts[i], matches[i]
+                b = parts[i]
                 if len(b) > 1 << 13:  # a stretch of a long document at each visit; scoring takes all of it
                     k = int(rng.integers(0, len(b) // STRIDE - 255)) * STRIDE
-                    b, match = b[k : k + (1 << 13)], match[k // STRIDE :][:255]
-                x = self.inputs(b, match)
-                r = x @ self.p["filter"] + self.p["bias"]
-                won = r.argmax(0)
-                top = r[won, np.arange(FILTERS)]
-                hidden = np.maximum(top, 0)
+                    b = b[k : k + (1 << 13)]
+                r = self.convolve(b)
+                half = r.reshape(-1, STRIDE, FILTERS).sum(1)
+                all_ = (half[:-1] + half[1:]) / CHUNK
+                won = all_.argmax(0)
+                hidden = all_[won, np.arange(FILTERS)]
                 p = 1 / (1 + np.exp(-np.clip(float(hidden @ self.p["out"] + self.p["shift"][0]), -30, 30)))
                 d = np.float32((p - y[i]) / batch)
                 g["out"] += d * hidden
                 g["shift"] += d
-                back = np.where(top > 0, d * self.p["out"], 0).astype(np.float32)
-                g["bias"] += back
-                g["filter"] += x[won].T * back
-                bytes_ = b.reshape(-1, STRIDE)
-                seen = np.concatenate([bytes_[won], bytes_[won + 1]], 1)
-                np.add.at(g["embed"], seen, (self.p["filter"][:WIDTH] * back / CHUNK).T[:, None, :])
+                at = won * STRIDE + np.arange(CHUNK)[:, None]
+                back = (r[at, np.arange(FILTERS)] > 0) * (d * self.p["out"] / CHUNK)
+                g["bias"] += back.sum(0)
+                key = (np.arange(KERNEL)[:, None, None] * 257 + b[at + np.arange(KERNEL)[:, None, None]]) * FILTERS + np.arange(FILTERS)
+                pull += np.bincount(key.ravel(), np.broadcast_to(back, key.shape).ravel(), KERNEL * 257 * FILTERS)
+            by = pull.reshape(KERNEL, 257, FILTERS).astype(np.float32)
+            g["filter"] += (self.p["embed"].T @ by).reshape(KERNEL * WIDTH, FILTERS)
+            g["embed"] += (by @ self.p["filter"].reshape(KERNEL, WIDTH, FILTERS).transpose(0, 2, 1)).sum(0)
             for k, x in self.p.items():
                 g[k] += 1e-4 * x
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
