@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,18 +63,24 @@ def entry_hash(sequence: Column, kind: Column, target: Column, delta: Column, pa
 def append_journal(entries: DataFrame) -> DataFrame:
     """entries with parent_hash and entry_hash, a chain in the order of sequence_number.
 
-    Each hash needs the one before, so one service's entries are folded in one task; append in batches.
+    Each hash needs the one before, so one service's entries are folded in one task; append in batches. The
+    task sorts them, reads them once and holds a batch at a time.
     """
-    fields = F.struct("sequence_number", "mutation_type", "target_id", "delta")
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("sequence_number"), F.lit("").alias("entry_hash"), F.lit("").alias("parent_hash")))
 
-    def step(chain: Column, e: Column) -> Column:
-        parent = F.element_at(chain, -1)["entry_hash"]
-        h = entry_hash(e["sequence_number"], e["mutation_type"], e["target_id"], e["delta"], parent)
-        return F.concat(chain, F.array(F.struct(e["sequence_number"].alias("sequence_number"), h.alias("entry_hash"), parent.alias("parent_hash"))))
-
-    folded = entries.agg(F.array_sort(F.collect_list(fields)).alias("all")).select(F.explode(F.slice(F.aggregate("all", start, step), 2, 1 << 30)).alias("e"))
-    return folded.select("e.sequence_number", "e.parent_hash", "e.entry_hash")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = ""
+        for batch in batches:
+            parents, hashes = [], []
+            for number, kind, target, delta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parents.append(last)
+                last = hashlib.sha256("|".join(x for x in (number, kind, target, delta, last) if x is not None).encode()).hexdigest()
+                hashes.append(last)
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(parents, pa.string()), pa.array(hashes, pa.string())], names=["sequence_number", "parent_hash", "entry_hash"])
+
+    order = ["sequence_number", "mutation_type", "target_id", "delta"]
+    # The same fields as in entry_hash; concat_ws leaves out nulls.
+    fields = [F.col("sequence_number").cast("string").alias("number"), "mutation_type", F.coalesce("target_id", F.lit("")).alias("target"), "delta"]
+    return entries.select(*order).coalesce(1).sortWithinPartitions(*order).select(*fields).mapInArrow(fold, "sequence_number long, parent_hash string, entry_hash string")
 
 
 def verify_journal(chain: DataFrame) -> DataFrame:

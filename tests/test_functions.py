@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 from datetime import datetime
@@ -83,3 +84,15 @@ def test_a_cluster_of_own_records_is_not_external(spark, metadata, want):
     thought = spark.createDataFrame([(i, f"text {i}", "OBSERVATION", i, metadata if i == "a" else None) for i in "abc"], schema)
     cohesive = spark.createDataFrame([("a", 1.0)], "cluster_id string, cohesion double")
     assert [r.rejected_by for r in consolidation.gates(member, thought, cohesive).collect()] == [want]
+
+
+def test_journal_chains_a_whole_table(spark):
+    """100,000 entries, more than a fold that copies the chain at each step can take, against a loop."""
+    entries = spark.range(100_000).select((F.lit(100_000) - F.col("id")).alias("sequence_number"), F.lit("ADD").alias("mutation_type"), F.when(F.col("id") % 3 > 0, F.lit("d1")).alias("target_id"), F.when(F.col("id") % 5 > 0, F.lit("{}")).alias("delta"))
+    chain = {r.sequence_number: (r.parent_hash, r.entry_hash) for r in S.append_journal(entries).collect()}
+    last = ""
+    for r in sorted(entries.collect(), key=lambda r: r.sequence_number):
+        own = hashlib.sha256("|".join([str(r.sequence_number), r.mutation_type, r.target_id or "", *([r.delta] if r.delta else []), last]).encode()).hexdigest()
+        assert chain.pop(r.sequence_number) == (last, own)
+        last = own
+    assert not chain and S.append_journal(entries.limit(0)).count() == 0
