@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space of every contract here: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,38 +31,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores put in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that setCheckpointDir set.
+
+    Where neither is set a temporary folder serves a local master, as in tests; a cluster needs the setting.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = getattr(shared_dir, "own", None)
-        if found is None:
-            found = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends."""
+    """A new path in the shared folder; it goes when the driver ends, or with drop_written."""
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_clean)
+        atexit.register(drop_written, 0)
     _written.append((spark, path))
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+def drop_path(path: str) -> None:
+    """Delete a path of the shared folder, also after the session has ended."""
+    jvm = SparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    context = SparkContext._active_spark_context
+    conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    at.getFileSystem(conf).delete(at, True)
+
+
+def written() -> int:
+    """How many paths fresh_path has given: a mark for drop_written."""
+    return len(_written)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
+def latest() -> str:
+    return _written[-1][1]
+
+
+def drop_written(since: int, *keep: str) -> None:
+    """Delete the tables written since a mark, but for the paths in keep. Nothing that is read later may need them."""
+    for spark, path in _written[since:]:
+        if path not in keep:
+            try:
+                drop_path(path)
+                _written.remove((spark, path))
+            except Exception as e:  # noqa: BLE001  what can't be deleted mustn't keep the rest
+                print(f"{path} is left behind: {type(e).__name__}", file=sys.stderr)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +99,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, and the path there. Paths are as Hadoop prints them, not escaped."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
 def stripped(text: Column) -> Column:
     """text without its white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
@@ -93,26 +133,66 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, n_rows: in
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(groups.filter(F.col(weight) <= limit), key))
 
 
-#: The column that numbers the rows of a table, so that a stage can decide by row where ids are null or repeated.
-ROW = "__row"
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs, written with a number of its own for each row: numbers made by a lazy plan could change between two reads."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written with a number of its own for each row, and the number's column: numbers made by a lazy plan could
+    change between two reads. A number has that of the partition that wrote the row above its lowest 33 bits."""
+    row = free(docs, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-#: So many ids at most are broadcast: 8 MB of them.
-BROADCAST_IDS = 1_000_000
+def part_of(row: Column | str) -> Column:
+    """The partition that wrote a row of numbered."""
+    return F.shiftright(row, 33)
 
 
-def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose id is in gone (one column). Null ids stay.
+def beside(rows: DataFrame, row: str, told: DataFrame, use: Callable[[pa.RecordBatch, np.ndarray, pa.Table], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """rows with what is told of them: use(rows of one partition, their numbers, what is told of that partition) gives the result's rows.
 
-    The ids are written and counted; only if there are few are they broadcast, else both sides are shuffled by id.
+    told has a column `part`, as of part_of, and any others. It is dealt by part and written, a folder for
+    each, and a task that meets rows of a part reads its folder. So rows never move, whatever they hold, and
+    nothing is broadcast: a task holds what is told of one written partition, and the plan is the same at
+    every size. Written files survive lost executors.
     """
-    ids = materialize(gone.select(F.col(gone.columns[0]).alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(id_col) == F.col("__gone"), "left_anti")
+    path = fresh_path(rows.sparkSession, "told")
+    told.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = where.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    none = told.drop("part").limit(0).toArrow()
+
+    def read(part: int) -> pa.Table:
+        system, at = open_path(f"{where}/part={part}")
+        if system.get_file_info(at).type == fs.FileType.NotFound:
+            return none
+        return pq.read_table(at, filesystem=system, partitioning=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, none
+        for batch in batches:
+            number = batch.column(row).to_numpy()
+            part = number >> 33
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False):
+                if part[a] != last:
+                    last = int(part[a])
+                    found = read(last)
+                yield use(batch.slice(a, b - a), number[a:b], found)
+        release_memory()
+
+    return rows.mapInArrow(run, schema)
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """rows of numbered less those whose number is in gone (one column), without the number."""
+    at = rows.columns.index(row)
+
+    def use(batch: pa.RecordBatch, number: np.ndarray, told: pa.Table) -> pa.RecordBatch:
+        keep = ~np.isin(number, told.column("gone").to_numpy())
+        columns = [c for i, c in enumerate(batch.columns) if i != at]
+        names = [c for i, c in enumerate(batch.schema.names) if i != at]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    dropped = F.col(gone.columns[0])
+    return beside(rows, row, gone.select(part_of(dropped).alias("part"), dropped.alias("gone")), use, rows.drop(row).schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -141,9 +221,10 @@ def release_memory() -> None:
         trim(0)
 
 
-def bounded(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """A seeded sample by key that holds about bound rows at most, all of df if that has fewer."""
-    n = df.count()
-    if n <= bound:
+def bounded(df: DataFrame, key: Column, bound: int, size: Column | None = None, most: int = 0) -> DataFrame:
+    """A seeded sample by key that holds about bound rows at most and, with a size, about `most` of it; all of df if that has less."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    share = min(bound / max(n, 1), most / total if size is not None and total else 1.0)
+    if share >= 1:
         return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40)))

@@ -1,10 +1,11 @@
-"""Exact deduplication in two passes over a Bloom filter of the hashes seen twice.
-
-The first pass turns each text's hash into two positions of a bit array and finds the positions that are
-hit more than once: tasks send, per block of the array, the positions they met, and one task per block
-keeps those that came twice. Together the blocks are a Bloom filter of possibly repeated hashes, of at
-most MAX_BITS bits whatever the input, which is broadcast. The second pass sends on only the rows whose
-positions are both in it; all others are unique and pass straight through.
+"""Exact deduplication in two passes over Bloom filters of the hashes seen twice.
+
+Each text's hash belongs to one of many filters, by its highest bits; their number grows with the rows, so a
+filter always serves about ROWS of them with BITS bits. The first pass over a filter's hashes marks the
+positions that are hit more than once, the second finds the hashes all of whose positions are marked: those
+that may be repeated. Only hashes are sent to the filters, each once from a batch however often it occurs
+there, and what comes back is told beside the rows. A row whose hash isn't repeated is unique and passes
+straight through; only the others are shuffled, and compared by SHA-256.
 """
 
 from __future__ import annotations
@@ -16,85 +17,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, attach, materialize, numbered, stripped, table, without
+from .common import attach, beside, materialize, numbered, part_of, stripped, table, whole_groups, without
 
-#: Bits of the filter for each row, and at most. Beyond the most, more unique rows are sent on; results stay whole.
-BITS_A_ROW, MAX_BITS = 16, 1 << 28
-_BLOCK = 1 << 20
+#: Rows that a filter serves, about, and its bits; both powers of two.
+ROWS, BITS = 1 << 13, 1 << 17
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """Two positions for each 64-bit hash, one after the other."""
+def _positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two positions in a filter for each 64-bit hash, from bits that don't choose the filter."""
     h = h.view(np.uint64)
-    return np.concatenate([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
-
+    return (h & np.uint64(BITS - 1)).astype(np.int64), (h >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64)
 
-def repeated_filter(hashes: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
-    """(bytes, bits) of the filter of hashes (one long column) that may occur more than once."""
-    bits = 1 << max(16, min(MAX_BITS.bit_length() - 1, (BITS_A_ROW * max(1, n_rows) - 1).bit_length()))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What a hash hits once, all its copies hit; a task sends a position once, or twice if two hashes or copies hit it.
-        for batch in batches:
-            at, n = np.unique(_positions(batch.column(0).to_numpy(zero_copy_only=False), bits), return_counts=True)
-            for block, part, times in _blocks(at, n):
-                yield pa.record_batch([pa.array([block]), pa.array([part.astype("<u4").tobytes()]), pa.array([(times > 1).astype("u1").tobytes()])], names=["block", "at", "twice"])
+def maybe_repeated(hashes: DataFrame, n_rows: int) -> DataFrame:
+    """hashes (part, h), two longs -> (part, h) of those that may occur more than once, in any parts; some of them repeatedly."""
+    bits = (n_rows // ROWS).bit_length()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by block: one block's arrays are held at a time.
-        block, once, twice = None, None, None
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, at, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield _block_row(block, twice)
-                    block, once, twice = b, np.zeros(_BLOCK, bool), np.zeros(_BLOCK, bool)
-                at, more = np.frombuffer(at, "<u4"), np.frombuffer(more, "u1").astype(bool)
-                twice[at[more | once[at]]] = True
-                once[at] = True
-        if block is not None:
-            yield _block_row(block, twice)
-
-    parts = hashes.mapInArrow(gather, "block long, at binary, twice binary")
-    blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block long, bits binary")
-    out = np.zeros(max(_BLOCK, bits) // 8, np.uint8)
-    for row in blocks.toLocalIterator():
-        out[row["block"] * (_BLOCK // 8) :][: _BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out, bits
-
-
-def _blocks(at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    cuts = np.flatnonzero(np.r_[True, at[1:] // _BLOCK != at[:-1] // _BLOCK]) if len(at) else np.empty(0, np.int64)
-    for i, j in zip(cuts, np.r_[cuts[1:], len(at)] if len(cuts) else cuts, strict=True):
-        yield int(at[i] // _BLOCK), at[i:j] % _BLOCK, n[i:j]
-
-
-def _block_row(block: int, twice: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([block]), pa.array([np.packbits(twice, bitorder="little").tobytes()])], names=["block", "bits"])
-
-
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+            part, h = (c.to_numpy() for c in batch.columns)
+            order = np.lexsort((h, part))
+            part, h = part[order], h[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]) if len(h) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(h)])
+            h = h[first]
+            yield pa.record_batch([pa.array((h.view(np.uint64) >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)), pa.array(part[first]), pa.array(h), pa.array(times > 1)], names=["filter", "part", "h", "twice"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_groups(batches, "filter"):
+            starts = np.flatnonzero(np.r_[True, cols["filter"][1:] != cols["filter"][:-1]])
+            for a, b in zip(starts, [*starts[1:], len(cols["h"])], strict=True):
+                part, h, twice = cols["part"][a:b], cols["h"][a:b], cols["twice"][a:b].astype(bool)
+                x, y = _positions(h)
+                times = np.bincount(np.r_[x, y, x[twice], y[twice]], minlength=BITS)
+                hit = (times[x] > 1) & (times[y] > 1)
+                yield pa.record_batch([pa.array(part[hit]), pa.array(h[hit])], names=["part", "h"])
+
+    sent = hashes.mapInArrow(send, "filter long, part long, h long, twice boolean")
+    return sent.repartition("filter").sortWithinPartitions("filter").mapInArrow(probe, "part long, h long")
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """(doc_id, sha, n_points, more columns) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(stripped(text).cast("binary"), 256).alias("sha"), F.char_length(text).cast("long").alias("n_points"), *more)
 
 
-def told_apart(digests: DataFrame) -> tuple[DataFrame, int]:
-    """(digests, written, with maybe: false if no other row has the sha; rows)."""
-    rows = materialize(digests.withColumn("h", F.xxhash64("sha")), "digest")
-    n = rows.count()
-    found, bits = repeated_filter(rows.select("h"), n)
-    shared = digests.sparkSession.sparkContext.broadcast(found)
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
+def told_apart(digests: DataFrame, row: str) -> tuple[DataFrame, int]:
+    """(digests, written, with maybe: false if no other row has the sha; number of rows). Column row numbers the rows as numbered does."""
+    n = digests.count()
+    h = F.xxhash64("sha").alias("h")
+    repeated = maybe_repeated(digests.select(part_of(row).alias("part"), h), n)
+    rows = digests.withColumn("h", F.xxhash64("sha"))
+    at = rows.columns.index("h")
 
-        at = _positions(h.to_numpy(np.int64), bits)
-        hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(hit[: len(h)] & hit[len(h) :])
+    def use(batch: pa.RecordBatch, number: np.ndarray, told: pa.Table) -> pa.RecordBatch:
+        maybe = np.isin(batch.column(at).to_numpy(), told.column("h").to_numpy())
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(maybe)], names=[*batch.schema.names[:at], "maybe"])
 
-    return materialize(rows.withColumn("maybe", maybe("h")).drop("h"), "digest-told"), n
+    schema = rows.drop("h").withColumn("maybe", F.lit(True)).schema
+    return materialize(beside(rows, row, repeated, use, schema), "digest-told"), n
 
 
 def _best(*more: str) -> Column:
@@ -110,7 +92,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that document, and each says kept. A null id comes last, and a group of null ids keeps its rows. Extra
     columns are not read. An empty table gives an empty result.
     """
-    told, n = told_apart(digest(docs, id_col, text_col))
+    rows, row = numbered(digest(docs, id_col, text_col), "digest")
+    told, n = told_apart(rows, row)
     single = told.filter("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     sent = told.filter("maybe").select("doc_id", "sha", "n_points")
     groups = materialize(sent.groupBy("sha").agg(F.min(_best()).alias("best"), F.count("*").alias("group_size")).select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"), "digest-groups")
@@ -132,8 +115,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs per text, equal as in exact_duplicates, whatever the ids: of rows that repeat an id and text one stays,
-    a null id's row goes if another row has its text, and rows of one id with different texts are judged one by one."""
-    rows = numbered(docs, "digest-rows")
-    sent = told_apart(digest(rows, id_col, text_col, ROW))[0].filter("maybe")
-    kept = sent.groupBy("sha").agg(F.min(_best(ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return without(rows, ROW, sent.select(ROW).join(kept, ROW, "left_anti")).drop(ROW)
+    a null id's row goes if another row has its text, and rows of one id with different texts are judged one by one.
+    Other columns stay as they are, whatever their names. An empty table stays empty."""
+    rows, row = numbered(docs, "digest-rows")
+    digests = materialize(digest(rows, id_col, text_col, F.col(row).alias("row")), "digest")
+    sent = told_apart(digests, "row")[0].filter("maybe")
+    kept = sent.groupBy("sha").agg(F.min(_best("row")).alias("best")).select(F.col("best.row").alias("row"))
+    return without(rows, row, sent.select("row").join(kept, "row", "left_anti"))
