@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, attach, materialize, numbered, release_memory, table, whole_groups, without
+from .common import attach, materialize, numbered, release_memory, table, whole_groups, without
 from .components import connected_components
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
-#: Groups up to this size are compared by shifted columns, others by sweeping; above the second, band by band.
-_SMALL, _LARGE = 32, 4096
+#: Groups up to this size are compared by shifted columns, others by sweeping; above the second, by choices of bands,
+#: of which so many agree that fingerprints spread evenly would make parts of the third size. All find the same links.
+_SMALL, _LARGE, _PART = 32, 4096, 64
 
 
 def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
@@ -45,17 +46,18 @@ def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, *more: str) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, *more: Column) -> DataFrame:
     """(doc_id, fp, more long columns): one row per row of docs, fp the fingerprint's bits as a signed long."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
+    names = ["doc_id", "fp", *narrow.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x or b"", width) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
+            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=names)
         release_memory()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
-    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in ("doc_id", "fp", *more)))
+    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 @lru_cache
@@ -118,20 +120,29 @@ def sweep(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def sweep_bands(fp: np.ndarray, segment: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Like sweep, for a large group around an anchor of a segment: edges that connect the same positions.
 
-    The bits outside the segment are cut into distance + 1 bands. Fingerprints within distance agree on one
-    of them at least, so only those that agree on a band are swept together; each band adds a forest.
+    The bits outside the segment are cut into bands, distance more than must agree: fingerprints within
+    distance agree on one choice of that many bands at least, so only those that agree on a choice are swept
+    together, and each choice adds a forest. The larger the group, the more bands must agree, so that the
+    parts that are swept stay small however many fingerprints there are.
     """
     low, one = np.uint64((22, 44, 0)[segment]), np.uint64(1)
     rest = fp >> low | fp << (np.uint64(64) - low) if low else fp
-    cuts = np.linspace(0, 44 if segment == 2 else 42, distance + 2).astype(np.uint64)
+    width, same = (44 if segment == 2 else 42), 1
+    while same < 4 and len(fp) >> (width * same // (distance + same)) > _PART:
+        same += 1
+    cuts = np.linspace(0, width, distance + same + 1).astype(np.uint64)
+    masks = [((one << (hi - lo)) - one) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        band = rest >> lo & ((one << (hi - lo)) - one)
+    for choice in combinations(masks, same):
+        band = rest & np.bitwise_or.reduce(np.array(choice, np.uint64))
         order = np.argsort(band, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-            x, y = sweep(fp[part], distance)
-            a.append(part[x])
-            b.append(part[y])
+        cut = np.flatnonzero(np.diff(band[order])) + 1
+        for lo, hi in zip(np.r_[0, cut].tolist(), np.r_[cut, len(order)].tolist(), strict=True):
+            if hi - lo > 1:
+                part = order[lo:hi]
+                x, y = sweep(fp[part], distance)
+                a.append(part[x])
+                b.append(part[y])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -139,7 +150,8 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """classes (fp, rep), each fp once. Edges (a, b) between reps that connect all fingerprints within distance.
 
     Within an anchor's group the links' spanning forest is returned, not all pairs. A task holds one
-    anchor's group at a time: distinct fingerprints, so copies never add to it.
+    anchor's group at a time: distinct fingerprints, so copies never add to it. Of N fingerprints a group
+    has about 15 N / 2^18, 16 bytes each (46 MB at 5 * 10^10); more bands agree as it grows.
     """
     if distance > DISTANCE:
         raise ValueError(f"the segments cover up to {DISTANCE} differing bits")
@@ -214,10 +226,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs per component of near duplicates, the one with the smallest id. Rows are linked by number, so
-    rows of a null id, which come last, and rows that repeat an id are linked and dropped like any other."""
-    rows = numbered(docs, "simhash-rows")
-    prints = materialize(fingerprints(rows, id_col, text_col, WIDTH, ROW), "simhash")
-    best = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), ROW)
-    groups = components(prints, ROW, DISTANCE, F.min(best).alias("best"))
-    kept = groups.groupBy("component_id").agg(F.min("best").alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return without(rows, ROW, prints.select(ROW).join(kept, ROW, "left_anti")).drop(ROW)
+    rows of a null id, which come last, and rows that repeat an id are linked and dropped like any other. Rows without
+    a word have fingerprint 0, and one of them stays. Other columns stay as they are, whatever their names. An empty table stays empty."""
+    rows, row = numbered(docs, "simhash-rows")
+    prints = materialize(fingerprints(rows, id_col, text_col, WIDTH, F.col(row).alias("row")), "simhash")
+    best = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "row")
+    groups = components(prints, "row", DISTANCE, F.min(best).alias("best"))
+    kept = groups.groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    return without(rows, row, prints.select("row").join(kept, "row", "left_anti"))
