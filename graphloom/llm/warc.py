@@ -15,16 +15,15 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, fresh_path, materialize, table
+from .common import attach, beside, fresh_path, materialize, numbered, open_path, part_of, table
 
 #: Bytes of a range, and of a read.
 RANGE, READ = 64 << 20, 1 << 20
-#: So many (id, digest, id) rows at most are broadcast: 20 MB of them.
-BROADCAST_ROWS = 250_000
 #: Payloads from this size on are written once; equal ones refer to the first.
 LEAST_REVISIT = 0
 #: An empty gzip member. Its bytes are ASCII but for two, which Latin-1 keeps.
@@ -41,7 +40,7 @@ def base32_sha1(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw, usedforsecurity=False).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit that names the page it repeats."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -66,23 +65,22 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Only (digest, id) pairs meet by payload, never the payloads.
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    known = materialize(rows.filter(F.length("payload") >= least).select("id", F.sha1("payload").alias("sha")), "warc-digests")
+    rows, row = numbered(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")), "warc-pages")
+    known = materialize(rows.filter(F.length("payload") >= least).select("id", F.sha1("payload").alias("sha"), F.col(row).alias("row")), "warc-digests")
     groups = known.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     groups = materialize(groups.filter("n > 1 AND first IS NOT NULL"), "warc-groups")
     repeats = attach(known, groups, "sha", "n", known.count()).filter("id IS NULL OR id != first")
-    refers = materialize(repeats.select(F.col("id").alias("rid"), "sha", "first").distinct(), "warc-refers")
-    keyed = rows.withColumn("sha", F.sha1("payload"))
-    few = F.broadcast(refers) if refers.count() <= BROADCAST_ROWS else refers
-    told = keyed.join(few, keyed["id"].eqNullSafe(refers["rid"]) & (keyed["sha"] == refers["sha"]), "left").select("id", "url", "payload", "first")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                out = [_member(record(i, u, p, base32_sha1(p), r)) for i, u, p, r in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True)]
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+    def members(batch: pa.RecordBatch, number: np.ndarray, told: pa.Table) -> pa.RecordBatch:
+        first = dict(zip(told.column("row").to_pylist(), told.column("first").to_pylist(), strict=True))
+        columns = [*batch.columns[:3], number.tolist()]
+        out = []
+        for k in range(0, batch.num_rows, 64):
+            i, u, p = (c.slice(k, 64).to_pylist() for c in columns[:3])
+            out += [_member(record(*x, base32_sha1(x[2]), first.get(n))) for *x, n in zip(i, u, p, columns[3][k : k + 64], strict=True)]
+        return pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
-    lines = told.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = beside(rows, row, repeats.select(part_of("row").alias("part"), "row", "first"), members, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
@@ -90,15 +88,19 @@ class _Bytes:
     """Reads of one file at any place, through the file system of its path."""
 
     def __init__(self, path: str) -> None:
-        from pyarrow import fs
-
-        found, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        found, at = open_path(path)
         self.file = found.open_input_file(at)
         self.size = self.file.size()
 
     def at(self, place: int, n: int = READ) -> bytes:
         return self.file.read_at(min(n, max(0, self.size - place)), place)
 
+    def __enter__(self) -> _Bytes:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
 
 def _unpack(file: _Bytes, place: int) -> tuple[bytes, int] | None:
     """The unpacked member that starts at place, and where it ends; None if none does, as told by its first bytes."""
@@ -157,9 +159,9 @@ def records_in(file: _Bytes, start: int, end: int) -> Iterator[tuple[int, dict[s
 
 
 def read_archive(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:
-    """(file, place, headers map, block binary) of every record under path.
+    """(file, place, headers map, block binary, payload_bytes, payload_digest) of every record under path.
 
-    Files are listed with their sizes, cut into ranges of span bytes, and the ranges dealt over the tasks.
+    The payload is what follows the HTTP headers in the block; its digest is computed from what was read. Files are listed with their sizes, cut into ranges of span bytes, and the ranges dealt over the tasks.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {span}L)")).alias("start"))
@@ -169,24 +171,31 @@ def read_archive(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame
         for batch in batches:
             for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, size = [], 0
-                for x in records_in(_Bytes(name), start, start + span):
-                    held.append((name, *x))
-                    size += len(x[2])
-                    if size >= 4 << 20:
-                        yield _rows(held)
-                        held, size = [], 0
+                with _Bytes(name) as file:
+                    for x in records_in(file, start, start + span):
+                        held.append((name, *x))
+                        size += len(x[2])
+                        if size >= 4 << 20:
+                            yield _rows(held)
+                            held, size = [], 0
                 if held:
                     yield _rows(held)
 
     dealt = ranges.select("path", "start").repartitionByRange(max(1, n), "path", "start")
-    return dealt.mapInArrow(run, "file string, place long, headers map<string,string>, block binary")
+    return dealt.mapInArrow(run, _SCHEMA)
+
+
+_SCHEMA = "file string, place long, headers map<string,string>, block binary, payload_bytes long, payload_digest string"
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-    cols = list(zip(*held, strict=True))
-    cols[2] = [list(x.items()) for x in cols[2]]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file", "place", "headers", "block"])
+    files, places, headers, blocks = zip(*held, strict=True)
+    bodies = [block.partition(b"\r\n\r\n")[2] for block in blocks]
+    columns = [
+        pa.array(files, pa.string()), pa.array(places, pa.int64()), pa.array([list(x.items()) for x in headers], pa.map_(pa.string(), pa.string())),
+        pa.array(blocks, pa.binary()), pa.array(map(len, bodies), pa.int64()), pa.array(map(base32_sha1, bodies), pa.string()),
+    ]
+    return pa.record_batch(columns, names=["file", "place", "headers", "block", "payload_bytes", "payload_digest"])
 
 
 def _page(header: str) -> Column:
@@ -194,15 +203,28 @@ def _page(header: str) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
+def payloads(records: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, damaged) of records of read_archive.
+
+    A response's bytes and digest are those of the payload that was read, whatever its headers claim; damaged
+    tells that they claim others. A revisit has no payload: its headers speak for the page it repeats.
+    """
+    head = lambda x: F.col("headers")[x]
+    claimed, length = F.regexp_extract(F.coalesce(head("warc-payload-digest"), F.lit("")), "^sha1:(.*)$", 1), head("warc-payload-length").try_cast("long")
+    response = head("warc-type") == "response"
+    differs = ~(F.col("payload_bytes").eqNullSafe(length) & (F.col("payload_digest") == claimed))
+    return records.select(
+        _page("warc-record-id").alias("page_id"), F.when(response, F.col("payload_bytes")).otherwise(length).alias("payload_bytes"),
+        F.when(response, F.col("payload_digest")).otherwise(claimed).alias("payload_digest"), head("warc-type").alias("record_type"),
+        _page("warc-refers-to").alias("refers_to"), (response & differs).alias("damaged"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes an archive of pages into the shared folder and reads it back; the columns come from the records read."""
     path = fresh_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    head = lambda x: F.col("headers")[x]
-    return read_archive(spark, path).select(
-        _page("warc-record-id").alias("page_id"), head("warc-payload-length").cast("long").alias("payload_bytes"),
-        F.regexp_extract(head("warc-payload-digest"), "^sha1:(.*)$", 1).alias("payload_digest"), head("warc-type").alias("record_type"), _page("warc-refers-to").alias("refers_to"),
-    )
+    return payloads(read_archive(spark, path)).drop("damaged")
 
 
 OP4_SQL = """
