@@ -21,8 +21,8 @@ from .language_id import _by_length, held_out
 CHUNK, STRIDE, WIDTH, FILTERS, KERNEL = 64, 32, 8, 24, 8
 #: Bytes up to which a short document is filled with PAD.
 FILL, PAD = 256, 256
-#: Labelled documents that are learned from, at most; steps and documents a step, the same for any input.
-SAMPLE, STEPS, BATCH, SEED = 4000, 300, 48, 11
+#: Labelled documents that are learned from, about, and bytes of their whole texts, at most; steps and documents a step, the same for any input.
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH, SEED = 4000, 32 << 20, 300, 48, 11
 THRESHOLD = 0.3
 
 
@@ -91,7 +91,7 @@ class Network:
         return out
 
     def train(self, raws: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = SEED) -> None:
-        """Adam on the log loss, both labels drawn equally often; only the chunks that win the maximum get a gradient."""
+        """Adam on the log loss, both labels drawn equally often; only the chunks that win the maximum over the whole text get a gradient."""
         rng = np.random.default_rng(seed)
         parts = [chunks(r) for r in raws]
         one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -103,22 +103,19 @@ class Network:
             pull = np.zeros(KERNEL * 257 * FILTERS)  # of each byte at each place of each filter
             for i in picked:
                 b = parts[i]
-                if len(b) > 1 << 13:  # a stretch of a long document at each visit; scoring takes all of it
-                    k = int(rng.integers(0, len(b) // STRIDE - 255)) * STRIDE
-                    b = b[k : k + (1 << 13)]
-                r = self.convolve(b)
-                half = r.reshape(-1, STRIDE, FILTERS).sum(1)
-                all_ = (half[:-1] + half[1:]) / CHUNK
+                all_ = self.respond(b)
                 won = all_.argmax(0)
                 hidden = all_[won, np.arange(FILTERS)]
                 p = 1 / (1 + np.exp(-np.clip(float(hidden @ self.p["out"] + self.p["shift"][0]), -30, 30)))
                 d = np.float32((p - y[i]) / batch)
                 g["out"] += d * hidden
                 g["shift"] += d
-                at = won * STRIDE + np.arange(CHUNK)[:, None]
-                back = (r[at, np.arange(FILTERS)] > 0) * (d * self.p["out"] / CHUNK)
+                # The bytes that the winning chunks' kernels see, and the responses there.
+                seen = b[won * STRIDE + np.arange(CHUNK)[:, None] + np.arange(KERNEL)[:, None, None]]
+                r = np.einsum("kcfw,kwf->cf", self.p["embed"][seen], self.p["filter"].reshape(KERNEL, WIDTH, FILTERS)) + self.p["bias"]
+                back = (r > 0) * (d * self.p["out"] / CHUNK)
                 g["bias"] += back.sum(0)
-                key = (np.arange(KERNEL)[:, None, None] * 257 + b[at + np.arange(KERNEL)[:, None, None]]) * FILTERS + np.arange(FILTERS)
+                key = (np.arange(KERNEL)[:, None, None] * 257 + seen) * FILTERS + np.arange(FILTERS)
                 pull += np.bincount(key.ravel(), np.broadcast_to(back, key.shape).ravel(), KERNEL * 257 * FILTERS)
             by = pull.reshape(KERNEL, 257, FILTERS).astype(np.float32)
             g["filter"] += (self.p["embed"].T @ by).reshape(KERNEL * WIDTH, FILTERS)
@@ -130,20 +127,22 @@ class Network:
                 x -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network | float:
-    """A network from the labelled rows, a seeded sample of about `sample` at most; the labels' mean if there is one label only (0.5 without any).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | float:
+    """A network from the labelled rows' whole texts, a seeded sample of about `sample` rows and `sample_bytes` bytes at most;
+    the labels' mean if there is one label only (0.5 without any).
 
     A label of several rows is their largest; null labels and null texts are left out.
     """
-    y = labels.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL")
-    used = bounded(y, F.col("__id").cast("string"), sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__raw")).filter("__raw IS NOT NULL").join(F.broadcast(used), "__id").collect()
-    rows.sort(key=lambda r: (r["__id"], bytes(r["__raw"])))
-    target = np.array([int(r["__y"] > 0) for r in rows])
+    y = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    used = bounded(y, F.col("id").cast("string"), sample)
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).filter("raw IS NOT NULL").join(F.broadcast(used), "id")
+    rows = bounded(told, F.concat(F.col("id").cast("string"), F.lit("bytes")), 1 << 40, F.octet_length("raw"), sample_bytes).collect()
+    rows.sort(key=lambda r: (r["id"], bytes(r["raw"])))
+    target = np.array([int(r["y"] > 0) for r in rows])
     if len(set(target.tolist())) < 2:
         return float(target.mean()) if len(target) else 0.5
     net = Network()
-    net.train([bytes(r["__raw"]) for r in rows], target)
+    net.train([bytes(r["raw"]) for r in rows], target)
     return net
 
 
