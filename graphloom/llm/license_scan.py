@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 from .quality_rules import let
 
 #: What separates words once A-Z are lower case.
@@ -53,6 +53,10 @@ TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge to any person obtaining a copy"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    *(Template(label, f"spdx license identifier {words}", f"spdx license identifier {words}") for label, words in (
+        ("agpl-3.0", "agpl 3 0"), ("apache-2.0", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("cc-by-4.0", "cc by 4 0"), ("cc0-1.0", "cc0 1 0"),
+        ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl"), ("mit", "mit"), ("mpl-2.0", "mpl 2 0"), ("unlicense", "unlicense"),
+    )),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 #: Rare tokens of a template, and the share of their weight that an alignment must cover.
@@ -121,13 +125,15 @@ def alignments(words: Column, templates: tuple[Template, ...]) -> Column:
     return F.when(F.exists(words, lambda w: w.isin(*rare)), let(F.array_sort(pairs), lambda p: let(intersect(p), verified))).otherwise(none)
 
 
-def scan(docs: DataFrame, text_col: str = "text", base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """docs with a struct column __license: n_words, base (places of base phrases), found (verified alignments of templates), labels, score.
+def scan(docs: DataFrame, text_col: str = "text", base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, into: str = "__license") -> DataFrame:
+    """docs with a struct column (`into`): n_words, base (places of base phrases), found (verified alignments of templates), labels, score.
 
     Null and empty texts have no word and no label. score is 1 with a base phrase, else the largest cover.
-    Each row is scanned alone: ties, repeated rows, null ids and columns of any name change nothing, and an
-    empty table stays empty.
+    Each row is scanned alone: ties, repeated rows, null ids and other columns change nothing, and an empty
+    table stays empty. A column that has the name `into` already is an error.
     """
+    if free(docs, into) != into:
+        raise ValueError(f"there is a column {into!r} already")
     every = (*base, *templates)
 
     def told(words: Column) -> Column:
@@ -142,7 +148,7 @@ def scan(docs: DataFrame, text_col: str = "text", base: tuple[Template, ...] = B
 
         return let(alignments(words, every), summed)
 
-    return docs.withColumn("__license", let(words_of(F.coalesce(F.col(text_col), F.lit(""))), told))
+    return docs.withColumn(into, let(words_of(F.coalesce(F.col(text_col), F.lit(""))), told))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, stripped, table
+from .common import BLANKS, WORD, free, stripped, table
 
 #: Frequent function words of the languages served.
 STOP_WORDS = (
@@ -21,7 +21,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if scale * measure is below low or above high times the base measure (None: no bound)."""
+    """A document fails if measure is below low or above high times the base measure (None: no bound)."""
 
     name: str
     measure: str
@@ -116,12 +116,15 @@ def verdict(value: Callable[[str], Column], rules: Sequence[Rule] = RULES) -> Co
     return out
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """docs with a struct column __rules of all measures, base_failed and kept, by one projection without user functions.
+def score_documents(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, into: str = "__rules") -> DataFrame:
+    """docs with a struct column (`into`) of all measures, base_failed and kept, by one projection without user functions.
 
     Null and empty texts have no word and fail. Each row is judged alone, so ties, repeated rows and null ids
-    change nothing, and an empty table stays empty. Other columns stay as they are, whatever their names.
+    change nothing, and an empty table stays empty. Other columns stay as they are; one that has the name `into`
+    already is an error. Repeated windows are told by a 64-bit hash.
     """
+    if free(docs, into) != into:
+        raise ValueError(f"there is a column {into!r} already")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def flat(m: Column) -> Column:
@@ -131,7 +134,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", rules: Sequence[Rul
         kept = ~failed & verdict(fields.__getitem__, rules)
         return F.struct(*[c.alias(n) for n, c in fields.items()], failed.alias("base_failed"), kept.alias("kept"))
 
-    return docs.withColumn("__rules", let(F.struct(*[c.alias(n) for n, c in measures(text).items()]), flat))
+    return docs.withColumn(into, let(F.struct(*[c.alias(n) for n, c in measures(text).items()]), flat))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +144,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs less those that the rules reject."""
-    return score_documents(docs, text_col).filter(F.col("__rules")["kept"]).drop("__rules")
+    """docs less those that the rules reject, as score_documents judges them. Columns stay as they are, whatever their names."""
+    into = free(docs, "__rules")
+    return score_documents(docs, text_col, into=into).filter(F.col(into)["kept"]).drop(into)
 
 
 def _sql_rules() -> str:

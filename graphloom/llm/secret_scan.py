@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 from .quality_rules import let
 
 
@@ -138,12 +138,15 @@ class Queries:
         return out
 
 
-def _running(steps: Column, block: int = 128) -> Column:
-    """Sums of what stands before each element, by blocks: time grows in proportion to the elements, not their square."""
+def _running(steps: Column, block: int = 16, levels: int = 4) -> Column:
+    """Sums of what stands before each element: sums in its block, and before it the running sums of whole blocks, found
+    alike. Time grows in proportion to the elements: a level has a 16th of those below, and what is left after the last is short."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    if not levels:
+        return F.transform(steps, lambda _, i: total(F.slice(steps, F.lit(1), i)))
     starts = F.sequence(F.lit(0), F.size(steps), F.lit(block))
     blocks = F.transform(starts, lambda k: total(F.slice(steps, k + 1, F.lit(block))))
-    before = let(blocks, lambda b: F.transform(b, lambda _, i: total(F.slice(b, F.lit(1), i))))
+    before = let(blocks, lambda b: _running(b, block, levels - 1))
     return let(before, lambda p: F.transform(steps, lambda _, i: F.get(p, F.floor(i / block).cast("int")) + total(F.slice(steps, i - i % block + 1, i % block))))
 
 
@@ -163,23 +166,27 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.probe or rule.pattern)), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE, *MORE)) -> DataFrame:
-    """docs with a column __spans: array<struct<start, kind, end>>, kind the rule's number, by start, then kind.
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE, *MORE), into: str = "__spans") -> DataFrame:
+    """docs with a column (`into`): array<struct<start, kind, end>>, kind the rule's number, by start, then kind.
 
     Null and empty texts have no span. Places count code points. Each row is scanned alone: ties, repeated
-    rows, null ids and other columns change nothing, and an empty table stays empty.
+    rows, null ids and other columns change nothing, and an empty table stays empty. A column that has the
+    name `into` already is an error.
     """
+    if free(docs, into) != into:
+        raise ValueError(f"there is a column {into!r} already")
     queries = Queries(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_low = docs.withColumn("__low", F.lower(text)).withColumn("__postings", queries.postings(F.col("__low"))).drop("__low")
+    low, postings = free(docs, "__low"), free(docs, "__postings")
+    with_low = docs.withColumn(low, F.lower(text)).withColumn(postings, queries.postings(F.col(low))).drop(low)
 
     def found_by(number: int, rule: Rule) -> Column:
         kind = F.lit(number).alias("kind")
         found = F.transform(spans_of(text, rule), lambda x: F.struct(x["start"].alias("start"), kind, x["end"].alias("end")))
-        candidate = queries.candidate(rule.kind, F.col("__postings"))
+        candidate = queries.candidate(rule.kind, F.col(postings))
         return found if candidate is None else F.when(candidate, found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
-    return with_low.withColumn("__spans", F.array_sort(F.concat(*[found_by(n, r) for n, r in enumerate(rules)]))).drop("__postings")
+    return with_low.withColumn(into, F.array_sort(F.concat(*[found_by(n, r) for n, r in enumerate(rules)]))).drop(postings)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
