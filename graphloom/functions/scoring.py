@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Priority boosts, weights of the search and of the keep score.
@@ -43,7 +43,7 @@ def priority_boost() -> Column:
 
 
 def signals(cycle: int) -> dict[str, Column]:
-    """The consolidation signals. Their recency has a fixed rate, not a half-life."""
+    """The consolidation signals, each from 0 to 1. Their recency has a fixed rate, not a half-life."""
     age = F.greatest(F.lit(0), F.lit(cycle) - F.col("updated_cycle"))
     return {
         "recency": F.exp(F.lit(-0.01) * age),
@@ -51,9 +51,29 @@ def signals(cycle: int) -> dict[str, Column]:
         "confirmation": F.least(F.lit(1.0), F.col("confirmation_count") / F.lit(5.0)),
         "confidence": F.coalesce("confidence", F.lit(0.5)),
         "frequency": F.least(F.lit(1.0), F.col("access_count") / F.lit(10.0)),
+        "action_outcome": F.coalesce("action_outcome_score", F.lit(0.0)),
     }
 
 
+def active_signals(pool: DataFrame, cycle: int | None, access_tracking: bool = True) -> set[str]:
+    """The signals that have a data source in the pool: a run has a cycle, or some row a value that is no default. One job, one row."""
+    told = pool.agg(
+        F.bool_or(F.col("confirmation_count") > 0).alias("confirmation"), F.bool_or(F.col("confidence").isNotNull()).alias("confidence"),
+        F.bool_or(F.col("access_count") > 0).alias("frequency"), F.bool_or(F.col("action_outcome_score").isNotNull()).alias("action_outcome"),
+    ).first().asDict()
+    found = {name for name, shown in told.items() if shown and (name != "frequency" or access_tracking)}
+    return found if cycle is None else found | {"recency", "staleness"}
+
+
+def weighted(weights: dict[str, float], values: dict[str, Column]) -> Column:
+    """The sum of the values by weight."""
+    total = F.lit(0.0)
+    for name, w in weights.items():
+        if w:
+            total += F.lit(w) * values[name]
+    return total
+
+
 def redistribute(weights: dict[str, float], active: set[str]) -> dict[str, float]:
     """Weights of the active signals, in proportion, as shares of 1; all 0 if none has weight."""
     total = sum(w for k, w in weights.items() if k in active)
