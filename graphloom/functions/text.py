@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What separates search tokens, what an entity looks like, words that only start sentences.
-SEPARATOR = r"[^\p{L}\p{N}_-]+"
-ENTITY = r"\b[A-Z][A-Za-z0-9]{2,}\b"
-STARTERS = ("And", "The", "This", "That", "These", "Those", "For", "From", "With", "Not", "Are", "Was", "Have")
+#: What search tokens are made of, and what separates them.
+TOKEN, SEPARATOR = r"[\p{L}\p{N}_-]+", r"[^\p{L}\p{N}_-]+"
+#: Words that start sentences or mark roles, which are no entities.
+STARTERS = tuple("""
+Absolutely Additionally Alongside Although Among And Anyway Around As Attending Beautifully Before Being Beyond Building But Certainly
+Collaboration Community Considering Creating Depending Despite Doing During Each Either Engaging Enjoying Especially Even Every Exploring
+Finally First Following Furthermore Generally Given Going Having Hello Here However Importantly Indeed Initially Initiatives Interesting
+Just Knowing Last Letting Likewise Looking Making Many Maybe Meanwhile Moreover Most Much Nevertheless New Next Note Now Often Once One
+Only Originally Other Otherwise Our Overall Particularly People Perhaps Please Plus Practicing Probably Putting Recently Regarding
+Remember Same Seeing Several Similarly Since Some Sometimes Soon Specifically Starting Still Such Sure Taking Than Thanks That The Their
+Then There Therefore These They This Those Though Through Throughout Thus Together Towards Trying Understanding Unfortunately Unless
+Until Upon Usually Very Watching Well What When Whenever Where Whether Which While Who Why With Within Without Working Yes Yet You Your
+Also Did Embracing For Have How Instead Lastly Not Reflecting Ultimately
+Conducting Connecting Continuing Discovering Discussing Focusing Implementing Integrating Learning Living Managing Preparing Pursuing Sharing Studying
+User USER Assistant ASSISTANT System SYSTEM
+""".split())
+#: Words that are no key words, beside those of fewer than three letters.
+STOP_WORDS = tuple("""
+the and for are but not you all can her was one our out day get has him his how man new now old see two way who boy did its let put say
+she too use this that with from they them have been were will into your what when make like just than then look only come over also back
+after work first well even want give most very such here there would could should
+""".split())
+#: Markers of a turn's role, in the order in which they are taken out.
+ROLE_MARKERS = (r"(?i)\[USER\]\s*User:?\s*", r"(?i)\[ASSISTANT\]\s*Assistant:?\s*", r"(?i)\[SYSTEM\][^\n]*\n?", r"(?i)\[USER\]", r"(?i)\[ASSISTANT\]", r"(?i)\[SYSTEM\]")
+#: A run of letters, digits and underscores in any script, and the shapes of runs that are entities.
+WORD, NAME, MEASURE = r"[\p{L}\p{N}_]+", r"[A-Z][A-Za-z0-9]{2,}", r"[0-9]{4}|[0-9]+(km|min|s|hr|h|m|kg)"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the ASCII letters that they are made from."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xDF, 0x250)]
+    pairs = [(c, base) for c, base in pairs if base.isascii() and base.islower()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,9 +51,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """text in lower case, Latin letters without their marks."""
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def tokens(*parts: Column) -> Column:
-    """Lower-case tokens of the parts, one after the other; null parts have none."""
-    return F.filter(F.split(F.lower(F.concat_ws(" ", *parts)), SEPARATOR, -1), lambda w: w != "")
+    """Folded search tokens of the parts, one after the other; null parts have none."""
+    return F.filter(F.split(folded(F.concat_ws(" ", *parts)), SEPARATOR, -1), lambda w: w != "")
+
+
+def key_tokens(text: Column) -> Column:
+    """Words of three letters or more, in lower case, but for stop words and role markers."""
+    for marker in ROLE_MARKERS:
+        text = F.regexp_replace(text, marker, " ")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+", -1), lambda w: (F.char_length(w) >= 3) & ~w.isin(*STOP_WORDS))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -32,17 +77,24 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def char_windows(text: Column, width: int, stride: int) -> Column:
-    """Windows of width characters every stride, the last one short; a text that fits in one has none."""
-    starts = F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(stride))
-    return F.when(F.char_length(text) <= width, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(width))))
+    """Windows of width characters every stride, the last one that which reaches the end; a text that fits in one has none."""
+    n = F.char_length(text)
+    starts = F.sequence(F.lit(0), n - width + stride - 1, F.lit(stride))
+    return F.when(n <= width, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(width))))
 
 
 def word_windows(text: Column, width: int, stride: int) -> Column:
-    def windows(w: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.size(w), F.lit(stride)), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))
-        return F.when(F.size(w) <= width, F.array().cast("array<string>")).otherwise(parts)
+    """Windows of width words, from a first word's start to a last word's end with the white space between kept."""
+    def windows(x: Column) -> Column:
+        words, after = x["words"], x["after"]
+        # Each word but a window's last is followed by its white space.
+        whole = F.zip_with(words, F.slice(after, F.lit(2), F.size(words)), lambda w, gap: F.concat(w, gap))
+        starts = F.sequence(F.lit(1), F.size(words) - width + stride, F.lit(stride))
+        last = lambda i: F.least(i + width - 1, F.size(words))
+        return let(whole, lambda y: F.transform(starts, lambda i: F.concat(F.array_join(F.slice(y, i, last(i) - i), ""), F.element_at(words, last(i)))))
 
-    return let(F.filter(F.split(text, r"\s+", -1), lambda w: w != ""), windows)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(r"\S+"), 0).alias("words"), F.split(text, r"\S+", -1).alias("after"))
+    return let(parts, lambda x: F.when(F.size(x["words"]) <= width, F.array().cast("array<string>")).otherwise(windows(x)))
 
 
 def paragraphs(text: Column, boundary: str = "\n", min_chars: int = 1) -> Column:
@@ -52,4 +104,18 @@ def paragraphs(text: Column, boundary: str = "\n", min_chars: int = 1) -> Column
 
 
 def entities(text: Column) -> Column:
-    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), F.array(*map(F.lit, STARTERS))))
+    """Sorted names, years, measures and prices; a word is what has no letter, digit or underscore beside it, in any script."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), 0))
+    named = F.filter(words, lambda w: (w.rlike(f"^{NAME}$") & ~w.isin(*STARTERS)) | w.rlike(f"^({MEASURE})$"))
+    prices = F.regexp_extract_all(text, F.lit(r"(?<=[\p{L}\p{N}_])\$[0-9]+(?![\p{L}\p{N}_])"), 0)
+    return F.array_sort(F.array_distinct(F.concat(named, prices)))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """text in at most `most` characters, cut after a word and with three dots if it is longer."""
+    if most <= 3:
+        return F.substring(text, 1, most)
+    head = F.substring(text, 1, most - 3)
+    cut = F.char_length(head) - F.locate(" ", F.reverse(head))
+    by_word = F.when((F.locate(" ", head) > 0) & (cut > 0), F.substring(head, F.lit(1), cut)).otherwise(head)
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.rtrim(by_word), F.lit("...")))
