@@ -6,6 +6,7 @@ A literal is cast to its column's type, and text that is no number matches nothi
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -258,6 +259,44 @@ def condition(node, table: str, now: datetime) -> Column:
     return {"=": left == right, "!=": left != right, "<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[node.op]
 
 
+def _stamp(at: datetime) -> str:
+    return at.replace(tzinfo=UTC).isoformat()
+
+
+def _clause(node, now: datetime) -> tuple[str, list]:
+    """A condition as SQL text with a ? for each value, and the values in order."""
+    if isinstance(node, Logic):
+        parts = [_clause(p, now) for p in node.parts]
+        return "(" + f" {node.op} ".join(text for text, _ in parts) + ")", [v for _, values in parts for v in values]
+    if isinstance(node, OneOf):
+        return f"{node.column} IN ({', '.join('?' * len(node.values))})", list(node.values)
+    if isinstance(node, Compare):
+        return f"{node.column} {node.op} ?", [node.value]
+    at = [_stamp(t) for t in node.at or (now,)]
+    if node.kind == "valid_between":
+        return "(valid_from IS NOT NULL AND valid_from >= ? AND valid_until IS NOT NULL AND valid_until <= ?)", at
+    upto = "<" if node.kind == "valid_within" else "<="
+    # The interval must have begun by the window's end, and not have ended by its start.
+    return f"((valid_from IS NULL OR valid_from {upto} ?) AND (valid_until IS NULL OR valid_until > ?))", [at[-1], at[0]]
+
+
+def compiled(q: Query, now: datetime) -> tuple[str, list]:
+    """(SQL text, values of its parameters) of a query, without running it."""
+    if q.verb == "SELECT":
+        return q.sql, []
+    if q.verb not in ("FIND", "COUNT"):
+        return q.verb, list(q.args)
+    text, values = _clause(q.where, now) if q.where is not None else ("", [])
+    if isinstance(q.where, Logic) and q.where.op == "AND":
+        text = text[1:-1]
+    where = f" WHERE {text}" if text else ""
+    if q.verb == "COUNT":
+        return f"SELECT COUNT(*) AS count FROM {q.table}{where}", values
+    order = f" ORDER BY {', '.join(f'{c} DESC' if down else f'{c} ASC' for c, down in q.order)}" if q.order else ""
+    offset = f" OFFSET {q.offset}" if q.offset is not None else ""
+    return f"SELECT * FROM {q.table}{where}{order} LIMIT {DEFAULT_LIMIT if q.limit is None else q.limit}{offset}", values
+
+
 @dataclass
 class Engine:
     """Runs queries over a graph's tables; verbs are functions of (engine, arguments) that return a DataFrame."""
@@ -270,7 +309,8 @@ class Engine:
     def run(self, text: str, params: list | None = None) -> DataFrame:
         q = parse(text, self.verbs)
         if q.explain:
-            return self.spark.createDataFrame([(q.verb, self._plan(q, params))], "command string, plan string")
+            sql, bound = compiled(q, self.now)
+            return self.spark.createDataFrame([(q.verb, sql, json.dumps(bound if params is None else params))], "command string, sql string, params string")
         return self._frame(q, params)
 
     def _frame(self, q: Query, params: list | None) -> DataFrame:
@@ -287,9 +327,6 @@ class Engine:
             df = df.offset(q.offset)
         return df.limit(DEFAULT_LIMIT if q.limit is None else q.limit)
 
-    def _plan(self, q: Query, params: list | None) -> str:
-        return self._frame(q, params)._jdf.queryExecution().optimizedPlan().toString()
-
     def select(self, sql: str, params: list | None = None) -> DataFrame:
         """One read-only SELECT over the tables, which it sees as temporary views."""
         sql = read_only(sql)

@@ -29,14 +29,17 @@ SELECT concat('d', lpad(cast(doc_id AS {S}), 9, '0')) AS thought_id,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {T} '2024-01-01 00:00:00' + (doc_id % 30 + doc_id % 20) * INTERVAL '1' DAY END AS updated_at,
   CASE WHEN doc_id % 8 = 0 THEN {T} '2024-02-01 00:00:00' + (doc_id % 30) * INTERVAL '1' DAY END AS expires_at,
   CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{broken' WHEN 2 THEN concat('{{"lang":null,"source":"', source, '"}}')
-    ELSE concat('{{"lang":"', lang, '","source":"', source, '","rank":', cast(doc_id % 5 AS {S}), ',"flag":', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"owner":"u', cast(doc_id % 6 AS {S}), '","nested":{{"k":"', cast(doc_id % 3 AS {S}), '"}}}}') END AS metadata_json,
+    ELSE concat('{{"lang":"', lang, '","rank":', cast(doc_id % 5 AS {S}), ',"flag":', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"owner":"u', cast(doc_id % 6 AS {S}), '","nested":{{"k":"', cast(doc_id % 3 AS {S}), '"}}',
+      CASE doc_id % 5 WHEN 0 THEN ',"perspective":"percept"' WHEN 1 THEN ',"perspective":"utterance"' WHEN 2 THEN ',"perspective":"thought"' ELSE '' END,
+      CASE doc_id % 8 WHEN 0 THEN ',"source":{{"is_self":true,"confidence":"high"}}' WHEN 1 THEN ',"source":{{"is_self":false,"confidence":"medium"}}' WHEN 2 THEN ',"source":{{"is_self":"false","confidence":"sure"}}' WHEN 3 THEN concat(',"source":"', source, '"') WHEN 4 THEN ',"source":{{"confidence":"low"}}' WHEN 5 THEN ',"source":{{"is_self":false,"confidence":"high"}}' ELSE '' END,
+      CASE doc_id % 9 WHEN 0 THEN ',"content_type":"code"' WHEN 1 THEN ',"content_type":"natural_language"' ELSE '' END, '}}') END AS metadata_json,
   CASE WHEN doc_id % 4 IN (0, 1) THEN NULL ELSE {T} '2024-01-01 00:00:00' + (doc_id % 60) * INTERVAL '1' DAY END AS valid_from,
   CASE WHEN doc_id % 4 IN (0, 2) THEN NULL ELSE {T} '2024-01-01 00:00:00' + (doc_id % 60 + doc_id % 25) * INTERVAL '1' DAY END AS valid_until,
   CASE WHEN doc_id % 10 = 0 THEN NULL ELSE concat('{{"run":{{"id":"r', cast(doc_id % 4 AS {S}), '"}}}}') END AS provenance,
   doc_id % 23 = 0 AS pinned,
   CASE WHEN doc_id % 13 = 2 AND doc_id % 2 = 0 THEN doc_id % 95 END AS archived_at_cycle,
   CASE WHEN doc_id % 13 = 2 AND doc_id % 2 = 0 THEN {T} '2023-12-01 00:00:00' + (doc_id % 90) * INTERVAL '1' DAY END AS archived_at,
-  cast(1 AS BIGINT) AS revision
+  CASE WHEN doc_id % 3 = 0 THEN cast(doc_id % 11 AS DOUBLE) / 10 END AS action_outcome_score, cast(1 AS BIGINT) AS revision
 FROM documents
 """
 
@@ -66,7 +69,8 @@ FROM events CROSS JOIN (SELECT count(*) AS n FROM documents) x
 """
 
 _JOURNAL = """
-SELECT event_id + 1 AS sequence_number, upper(event_type) AS mutation_type, concat('d', cast(user_id AS {S})) AS target_id, props AS delta, ts AS created_at FROM events WHERE event_id < 500
+SELECT concat('s', cast(user_id % 16 AS {S})) AS service, cast(row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS BIGINT) AS sequence_number, upper(event_type) AS mutation_type,
+  CASE WHEN event_id % 7 > 0 THEN concat('d', cast(user_id AS {S})) END AS target_id, props AS delta, ts AS created_at FROM events
 """
 
 VIEWS = {"thought": _THOUGHT, "edge": _EDGE, "embedding": _EMBEDDING, "action": _ACTION, "journal_input": _JOURNAL}

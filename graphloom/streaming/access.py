@@ -1,4 +1,4 @@
-"""Access counts and sessions over a stream of events."""
+"""Access counts, sessions and the journal as streams, and when a cycle's work is due."""
 
 from __future__ import annotations
 
@@ -21,3 +21,27 @@ def access_counts(stream: DataFrame, window: str = "1 day", late: str = "2 days"
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
     at = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return at.groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("events"))
+
+
+def journal(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The entries that are appended under path, as they come; their order is that of sequence_number, not of arrival."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+
+
+def due(cycle: int, every: int) -> bool:
+    """Whether a cycle is one in which batch work runs: each `every`-th but the first."""
+    if every < 1:
+        raise ValueError("work is due every cycle or less often")
+    return cycle > 0 and cycle % every == 0
+
+
+class HighWater:
+    """A cycle provider that follows the store: the highest cycle of its records and edges, and never goes back."""
+
+    def __init__(self, thought: DataFrame, edge: DataFrame) -> None:
+        self.thought, self.edge, self.last = thought, edge, 0
+
+    def __call__(self) -> int:
+        found = self.thought.agg(F.max("updated_cycle").alias("c")).unionByName(self.edge.agg(F.max("created_cycle").alias("c"))).agg(F.max("c")).first()[0]
+        self.last = max(self.last, found or 0)
+        return self.last
