@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.metadata import equals, matches, visible
+from .functions.embedding import bag_of_words
+from .functions.metadata import matches, visible
 from .functions.scoring import cosine, cycle_recency, instant_recency, priority_boost, signals
 from .functions.temporal import live, valid_at
-from .functions.text import char_windows, entities, paragraphs, tokens, word_windows
+from .functions.text import ACCENTED, PLAIN, ROLE_MARKERS, STARTERS, STOP_WORDS, char_windows, entities, paragraphs, tokens, truncated, word_windows
 from .operators import consolidation as C
+from .operators import derived as D
 from .operators import hygiene as H
 from .operators import retrieval as R
 from .operators import store as S
 from .plans.mql import Engine
+from .sources import conversations, snapshot
 from .sources.graph import CYCLE, NOW, Graph, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +76,10 @@ mql("b14_valid_between", "COUNT thoughts WHERE valid_between '2024-01-05' '2024-
 mql("j1_custom_verb", "URGENT now", "SELECT thought_type, count(*) AS n FROM thought WHERE priority = 'P1' GROUP BY thought_type", "thought")
 
 
-@query("b4_explain")
+@query("b4_explain", """SELECT 'FIND' AS command, 'SELECT * FROM thought WHERE ((valid_from IS NULL OR valid_from <= ?) AND (valid_until IS NULL OR valid_until > ?)) AND priority = ? AND created_cycle IN (?, ?) ORDER BY confidence DESC LIMIT 5 OFFSET 2' AS sql,
+  '["2024-02-15T00:00:00+00:00", "2024-02-15T00:00:00+00:00", "P1", 3, 4]' AS params""")
 def _(g: Graph) -> DataFrame:
-    return engine(g).run("EXPLAIN FIND thoughts WHERE valid_now AND priority = 'P1' LIMIT 5")
+    return engine(g).run("EXPLAIN FIND thoughts WHERE valid_now AND priority = 'P1' AND created_cycle IN (3, 4) ORDER BY confidence DESC LIMIT 5 OFFSET 2")
 
 
 _JSON = "CASE WHEN json_valid(metadata_json) THEN metadata_json END"
@@ -108,9 +112,21 @@ def _(g: Graph) -> DataFrame:
     return g.thought.filter(live(_NOW)).select("thought_id")
 
 
-@query("b24_eligibility", f"SELECT thought_id FROM (SELECT thought_id, {_JSON} AS j, metadata_json FROM thought) t WHERE metadata_json IS NULL OR json_extract_string(j, '$.flag') = 'true' AND json_extract_string(j, '$.owner') != 'u0'", "thought")
-def _(g: Graph) -> DataFrame:
-    return g.thought.filter(F.col(_META).isNull() | (equals(_META, "$.flag", True) & ~equals(_META, "$.owner", "u0"))).select("thought_id")
+_CONF = "CASE json_extract_string(j, '$.source.confidence') WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
+
+
+def _may(name: str, sql: str, **how) -> None:
+    """Records without metadata may take part; else perspective, is_self (a boolean only), confidence and content type decide."""
+    @query(name, f"SELECT thought_id FROM (SELECT thought_id, {_JSON} AS j FROM thought) t WHERE j IS NULL OR (coalesce(json_extract_string(j, '$.content_type'), '') != 'code' AND {sql})", "thought")
+    def _(g: Graph) -> DataFrame:
+        return g.thought.filter(C.eligible(**how)).select("thought_id")
+
+
+_may("b24_eligibility", "true")
+_may("b24_external_only", "coalesce(CAST(json_extract(j, '$.source.is_self') AS VARCHAR), '') != 'true'", self_mode="external_only")
+_may("b24_self_only", "coalesce(CAST(json_extract(j, '$.source.is_self') AS VARCHAR), '') != 'false'", self_mode="self_only")
+_may("b24_perspective_confidence", f"coalesce(json_extract_string(j, '$.perspective'), 'percept') IN ('percept', 'utterance') AND {_CONF} >= 1", perspectives=("percept", "utterance"), min_confidence="medium")
+_may("b24_content_types", "coalesce(json_extract_string(j, '$.content_type'), 'natural_language') = 'natural_language'", types=("natural_language",))
 
 
 @query("c1_embedding_owner", f"SELECT embedding_id, thought_id FROM embedding JOIN thought ON owner_id = thought_id WHERE {_LIVE}", "thought", "embedding")
@@ -153,9 +169,21 @@ def _(g: Graph) -> DataFrame:
     return C.new_neighbours(_pairs(g), g.edge, 2).withColumn("weight", F.round("weight", 6))
 
 
-@query("c12_dangling_actions", "SELECT action_id FROM action WHERE source_thought_id NOT IN (SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE')", "thought", "action")
+@query("c3_orphan_vectors", "SELECT embedding_id FROM embedding WHERE owner_id NOT IN (SELECT thought_id FROM thought)", "thought", "embedding")
+def _(g: Graph) -> DataFrame:
+    return g.embedding.join(g.thought, F.col("owner_id") == F.col("thought_id"), "left_anti").select("embedding_id")
+
+
+@query("c12_dangling", """, a AS (SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE')
+SELECT 'action' AS "table", action_id AS id FROM action WHERE source_thought_id NOT IN (FROM a) UNION ALL SELECT 'edge', edge_id FROM edge WHERE from_thought_id NOT IN (FROM a) OR to_thought_id NOT IN (FROM a)
+UNION ALL SELECT 'embedding', embedding_id FROM embedding WHERE owner_id NOT IN (FROM a)""", "thought", "edge", "action", "embedding")
+def _(g: Graph) -> DataFrame:
+    return S.dangling(g.thought.filter("lifecycle_status = 'ACTIVE'"), g.edge, g.action, g.embedding)
+
+
+@query("d2_edge_counts", "SELECT edge_type, count(*) AS n FROM edge GROUP BY ROLLUP (edge_type)", "edge")
 def _(g: Graph) -> DataFrame:
-    return g.action.join(g.thought.filter("lifecycle_status = 'ACTIVE'"), F.col("source_thought_id") == F.col("thought_id"), "left_anti").select("action_id")
+    return g.edge.rollup("edge_type").agg(F.count("*").alias("n"))
 
 
 @query("d2_counts_rollup", "SELECT thought_type, lifecycle_status, count(*) AS n FROM thought GROUP BY ROLLUP (thought_type, lifecycle_status)", "thought")
@@ -178,8 +206,7 @@ def _(g: Graph) -> DataFrame:
 
 @query("d5_action_outcome", "SELECT source_thought_id, round(avg(CASE WHEN status = 'FAILED' THEN 0.0 WHEN status = 'CONFIRMED' THEN CASE verification_status WHEN 'CONFIRMED' THEN 1.0 WHEN 'FAILED' THEN 0.0 ELSE 0.5 END END), 6) AS score FROM action GROUP BY 1", "action")
 def _(g: Graph) -> DataFrame:
-    told = F.when(F.col("verification_status") == "CONFIRMED", 1.0).when(F.col("verification_status") == "FAILED", 0.0).otherwise(0.5)
-    return g.action.groupBy("source_thought_id").agg(F.round(F.avg(F.when(F.col("status") == "FAILED", 0.0).when(F.col("status") == "CONFIRMED", told)), 6).alias("score"))
+    return S.outcomes(g.action).withColumn("score", F.round("score", 6))
 
 
 _CLUSTERS = _PAIRS + """, n AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT a AS thought_id, a AS other FROM n UNION SELECT r.thought_id, n.b FROM reach r JOIN n ON n.a = r.other),
@@ -209,47 +236,125 @@ def _(g: Graph) -> DataFrame:
     return C.cohesion(_members(g), g.embedding).withColumn("cohesion", F.round("cohesion", 6))
 
 
-_SIDES = ", ".join(f"bool_or(w IN ({', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in side)})) AS s{i}" for i, side in enumerate(side for pair in C.CONTRADICTIONS for side in pair))
+_TOK = r"list_filter(regexp_split_to_array(translate(lower(concat_ws(' ', {cols})), '" + ACCENTED + "', '" + PLAIN + r"'), '[^\p{{L}}\p{{N}}_-]+'), lambda x: x != '')"
 
 
-@query("m11_gates", _CLUSTERS + _COHESION + f""", r AS (SELECT cluster_id, thought_id, content, source_type, content_hash, metadata_json FROM m JOIN thought USING (thought_id)),
-k AS (SELECT cluster_id, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS copies FROM (SELECT cluster_id, content_hash, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1),
-o AS (SELECT cluster_id, avg(CASE WHEN source_type = 'DREAMING' THEN 1.0 ELSE 0.0 END) AS own FROM r GROUP BY 1),
-e AS (SELECT cluster_id, avg(CASE WHEN CAST(json_extract({_JSON}, '$.source.is_self') AS VARCHAR) = 'true' THEN 0.0 ELSE 1.0 END) AS external FROM r GROUP BY 1),
-x AS (SELECT cluster_id, {_SIDES} FROM (SELECT cluster_id, unnest(regexp_split_to_array(lower(content), '[^a-z'']+')) AS w FROM r) GROUP BY 1)
-SELECT cluster_id, CASE WHEN copies > 0 THEN 'duplicate' WHEN own >= 0.75 THEN 'persona' WHEN (s0 AND s1) OR (s2 AND s3) OR (s4 AND s5) THEN 'contradiction' WHEN cohesion < 0.4 THEN 'cohesion' WHEN external < 0.95 THEN 'external' END AS rejected_by
-FROM k JOIN o USING (cluster_id) JOIN e USING (cluster_id) JOIN x USING (cluster_id) JOIN h USING (cluster_id)""", "thought", "embedding")
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _key_words(text: str) -> str:
+    """DuckDB's form of key_tokens."""
+    for marker in ROLE_MARKERS:
+        text = f"regexp_replace({text}, '{marker}', ' ', 'g')"
+    return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 AND x NOT IN ({_listed(STOP_WORDS)}))"
+
+
+_NAMES = rf"list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+'), lambda x: (regexp_matches(x, '^[A-Z][A-Za-z0-9]{{2,}}$') AND x NOT IN ({_listed(STARTERS)})) OR regexp_matches(x, '^([0-9]{{4}}|[0-9]+(km|min|s|hr|h|m|kg))$')), regexp_extract_all(concat(content, ' '), '[\p{{L}}\p{{N}}_](\$[0-9]+)[^\p{{L}}\p{{N}}_]', 1))))"
+#: A word of the opposites is what stands between characters other than letters, digits, underscores and apostrophes; apostrophes at its ends are none of it.
+_WORDS = r"list_transform(regexp_extract_all(lower(content), '[\p{L}\p{N}_'']+'), lambda x: trim(x, chr(39)))"
+_SIDES = ", ".join(f"bool_or(list_has_any({_WORDS}, [{_listed(side)}])) AS s{i}" for i, side in enumerate(side for pair in C.CONTRADICTIONS for side in pair))
+
+
+@query("m11_gates", _CLUSTERS + _COHESION + f""", r AS (SELECT cluster_id, thought_id, content, content_hash, metadata_json, {_NAMES} AS names FROM m JOIN thought USING (thought_id)),
+o AS (SELECT cluster_id, count(*) AS n, count(DISTINCT content_hash) AS d, avg(CASE WHEN NOT (contains(content, '[USER]') OR contains(content, '[ASSISTANT]') OR contains(content, '[SYSTEM]')) AND regexp_matches(lower(content), 'born in 19|born in 20|is a |is the |is an |embracing their') THEN 1.0 ELSE 0.0 END) AS persona,
+  avg(CASE WHEN CAST(json_extract({_JSON}, '$.source.is_self') AS VARCHAR) = 'true' THEN 0.0 ELSE 1.0 END) AS external, arg_min(names, thought_id) AS first, {_SIDES} FROM r GROUP BY 1),
+q AS (SELECT r.cluster_id, sum(CASE WHEN list_has_any(names, first) THEN 1 ELSE 0 END) AS shared FROM r JOIN o USING (cluster_id) GROUP BY 1)
+SELECT cluster_id, CASE WHEN d < n THEN 'duplicate' WHEN persona >= 0.75 THEN 'persona' WHEN (s0 AND s1) OR (s2 AND s3) OR (s4 AND s5) THEN 'contradiction' WHEN cohesion < 0.4 THEN 'cohesion' WHEN external < 0.95 THEN 'external' WHEN len(first) > 0 AND shared::DOUBLE / n < 0.6 THEN 'entities' END AS rejected_by
+FROM o JOIN h USING (cluster_id) JOIN q USING (cluster_id)""", "thought", "embedding")
 def _(g: Graph) -> DataFrame:
     member = _members(g)
     return C.gates(member, g.thought, C.cohesion(member, g.embedding))
 
 
-_TOK = r"list_filter(regexp_split_to_array(lower(concat_ws(' ', {cols})), '[^\p{{L}}\p{{N}}_-]+'), lambda x: x != '')"
-_STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+_BY_SOURCE = "SELECT source AS cluster_id, thought_id, content FROM thought"
 
 
-@query("d14_keywords", f""", x AS (SELECT source AS cluster_id, unnest({_TOK.format(cols='content')}) AS word FROM thought), n AS (SELECT cluster_id, word, count(*) AS n FROM x WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY 1, 2)
-SELECT cluster_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 5""", "thought")
+@query("d14_keywords", f""", x AS (SELECT cluster_id, thought_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT cluster_id, thought_id, {_key_words('content')} AS w FROM ({_BY_SOURCE}))), n AS (SELECT cluster_id, word, count(*) AS n, min({{'t': thought_id, 'p': pos}}) AS first FROM x GROUP BY 1, 2)
+SELECT cluster_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM n) WHERE rank <= 5""", "thought")
 def _(g: Graph) -> DataFrame:
     return C.keywords(g.thought.withColumnRenamed("source", "cluster_id"), 5)
 
 
-@query("d12_tfidf", f""", x AS (SELECT source AS cluster_id, thought_id, list_filter({_TOK.format(cols='content')}, lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS w FROM thought WHERE thought_type = 'TASK'),
-g AS (SELECT cluster_id, thought_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM x),
+_TFIDF = f""", x AS (SELECT cluster_id, thought_id, {_key_words('content')} AS w FROM ({_BY_SOURCE})),
+g AS (SELECT cluster_id, thought_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM x),
 d AS (SELECT phrase, count(DISTINCT thought_id) AS df FROM g GROUP BY 1), t AS (SELECT cluster_id, phrase, count(*) AS tf FROM g GROUP BY 1, 2),
-s AS (SELECT cluster_id, phrase, tf * ln((1 + (SELECT count(*) FROM x)) / (1 + df)) AS score FROM t JOIN d USING (phrase))
-SELECT cluster_id, phrase, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, phrase) AS rank FROM s) WHERE rank <= 3""", "thought")
+s AS (SELECT cluster_id, phrase, tf * ln((1 + (SELECT count(*) FROM x)) / (1 + df)) AS score FROM t JOIN d USING (phrase)),
+top AS (SELECT cluster_id, phrase, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, phrase) AS rank FROM s) WHERE rank <= 5)"""
+
+
+def _phrases(g: Graph) -> DataFrame:
+    return C.tfidf(g.thought.withColumnRenamed("source", "cluster_id"), g.thought, 5)
+
+
+@query("d12_tfidf", _TFIDF + " SELECT cluster_id, phrase, score FROM top", "thought")
+def _(g: Graph) -> DataFrame:
+    return _phrases(g)
+
+
+_COMMON = ", c AS (SELECT lower(phrase) AS phrase, count(DISTINCT cluster_id) AS clusters FROM top GROUP BY 1)"
+
+
+@query("d13_phrase_df", _TFIDF + _COMMON + " SELECT phrase, clusters FROM c", "thought")
+def _(g: Graph) -> DataFrame:
+    return C.phrase_frequency(_phrases(g))
+
+
+@query("f18_boilerplate", _TFIDF + _COMMON + """, k AS (SELECT t.*, clusters / 20.0 <= 0.05 AS good FROM top t JOIN c ON lower(t.phrase) = c.phrase)
+SELECT cluster_id, phrase, score FROM (SELECT *, sum(good::INT) OVER (PARTITION BY cluster_id) AS kept FROM k) WHERE good OR kept < 1""", "thought")
+def _(g: Graph) -> DataFrame:
+    return C.without_boilerplate(_phrases(g), 20, share=0.05)
+
+
+@query("f19_generic", _TFIDF + rf" SELECT phrase, regexp_matches(phrase, '(?i)^\s*({'|'.join(C.GENERIC_LEADERS)})\s+[\p{{L}}\p{{N}}_]') AS generic FROM (SELECT DISTINCT phrase FROM top UNION SELECT concat('Some ', phrase) FROM top)", "thought")
+def _(g: Graph) -> DataFrame:
+    found = _phrases(g).select("phrase").distinct()
+    return found.union(found.select(F.concat(F.lit("Some "), "phrase"))).distinct().select("phrase", C.generic(F.col("phrase")).alias("generic"))
+
+
+_CUT = "CASE WHEN length(content) <= 150 THEN content ELSE rtrim(CASE WHEN strpos(substr(content, 1, 147), ' ') > 0 AND length(regexp_extract(substr(content, 1, 147), '(?s)^(.*) [^ ]*$', 1)) > 0 THEN regexp_extract(substr(content, 1, 147), '(?s)^(.*) [^ ]*$', 1) ELSE substr(content, 1, 147) END) || '...' END"
+
+
+@query("f17_truncate", f"SELECT thought_id, {_CUT} AS excerpt FROM thought", "thought")
+def _(g: Graph) -> DataFrame:
+    return g.thought.select("thought_id", truncated(F.col("content"), 150).alias("excerpt"))
+
+
+_SUMMARY = _CLUSTERS + rf""", r AS (SELECT m.cluster_id, t.*, {_NAMES} AS names FROM m JOIN thought t USING (thought_id)),
+q AS (SELECT cluster_id, string_agg(thought_id || ':' || {_CUT}, ' / ' ORDER BY k) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY priority, created_at DESC NULLS FIRST, thought_id) AS k FROM r) WHERE k <= 5 GROUP BY 1),
+u AS (SELECT cluster_id, string_agg(x, ',' ORDER BY x) AS entities FROM (SELECT DISTINCT cluster_id, unnest(names) AS x FROM r) GROUP BY 1),
+su AS (SELECT cluster_id, count(*) AS members, substr(sha256('["' || string_agg(thought_id, '", "' ORDER BY thought_id) || '"]'), 1, 16) AS source_hash, min(priority) AS priority, min(created_at) AS first_at, max(created_at) AS last_at,
+  CASE WHEN count(*) = count(valid_from) THEN min(valid_from) END AS valid_from, CASE WHEN count(*) = count(valid_until) THEN max(valid_until) END AS valid_until, any_value(excerpts) AS excerpts, coalesce(any_value(entities), '') AS entities,
+  coalesce(round((epoch(max(created_at)) - epoch(min(created_at))) / 86400, 2), 0) AS span_days FROM r JOIN q USING (cluster_id) LEFT JOIN u USING (cluster_id) GROUP BY cluster_id)"""
+
+
+@query("m14_summaries", _SUMMARY + " SELECT * FROM su", "thought", "embedding")
+def _(g: Graph) -> DataFrame:
+    out = C.summaries(_members(g), g.thought).drop("member_ids")
+    return out.withColumn("entities", F.array_join("entities", ",")).withColumn("excerpts", F.array_join(F.transform("excerpts", lambda x: F.concat(x["thought_id"], F.lit(":"), x["excerpt"])), " / "))
+
+
+def _reflections(g: Graph) -> DataFrame:
+    member = _members(g)
+    rows = member.join(g.thought.select("thought_id", "content"), "thought_id")
+    return C.reflections(C.summaries(member, g.thought), C.keywords(rows, 10), C.tfidf(rows, g.thought), g.thought, CYCLE, _NOW)
+
+
+_KW = f""", kx AS (SELECT cluster_id, thought_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT cluster_id, thought_id, {_key_words('content')} AS w FROM r)), kn AS (SELECT cluster_id, word, count(*) AS n, min({{'t': thought_id, 'p': pos}}) AS first FROM kx GROUP BY 1, 2),
+kr AS (SELECT cluster_id, word, n, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM kn), kw AS (SELECT cluster_id, string_agg(word, ', ' ORDER BY n DESC, word) AS words FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS place FROM kr WHERE rank <= 10) WHERE place <= 3 GROUP BY 1)"""
+
+
+@query("m16_reflections", _SUMMARY + _KW + " SELECT concat('r', source_hash) AS thought_id, substr(concat('REFLECTION [', words, ']'), 1, 200) AS essence, concat('dreaming:', source_hash) AS source, valid_from, valid_until, members::INT AS members FROM su JOIN kw USING (cluster_id)", "thought", "embedding")
 def _(g: Graph) -> DataFrame:
-    return C.tfidf(g.thought.filter("thought_type = 'TASK'").withColumnRenamed("source", "cluster_id"), 2, 3).withColumn("score", F.round("score", 6))
+    return _reflections(g).select("thought_id", "essence", "source", "valid_from", "valid_until", F.get_json_object("content", "$.member_count").cast("int").alias("members"))
 
 
-@query("m14_summaries", _CLUSTERS + r""", r AS (SELECT m.cluster_id, t.* FROM m JOIN thought t USING (thought_id)),
-q AS (SELECT cluster_id, string_agg(substr(essence, 1, 40), ' / ' ORDER BY k) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY priority, created_at NULLS FIRST, thought_id) AS k FROM r) WHERE k <= 3 GROUP BY 1)
-SELECT cluster_id, count(*) AS members, substr(sha256('["' || string_agg(thought_id, '", "' ORDER BY thought_id) || '"]'), 1, 16) AS source_hash, min(priority) AS priority, min(created_at) AS first_at, max(created_at) AS last_at,
-  CASE WHEN count(*) = count(valid_from) THEN min(valid_from) END AS valid_from, CASE WHEN count(*) = count(valid_until) THEN max(valid_until) END AS valid_until, any_value(excerpts) AS excerpts,
-  round((epoch(max(created_at)) - epoch(min(created_at))) / 86400, 2) AS span_days FROM r JOIN q USING (cluster_id) GROUP BY cluster_id""", "thought", "embedding")
+@query("m16_lineage", _CLUSTERS + """, x AS (SELECT cluster_id, concat('r', substr(sha256('["' || string_agg(thought_id, '", "' ORDER BY thought_id) || '"]'), 1, 16)) AS id FROM m GROUP BY 1)
+SELECT id AS from_thought_id, thought_id AS to_thought_id, 1.0::DOUBLE AS weight FROM m JOIN x USING (cluster_id)""", "embedding")
 def _(g: Graph) -> DataFrame:
-    return C.summaries(_members(g), g.thought).drop("entities")
+    summary = _members(g).groupBy("cluster_id").agg(F.array_sort(F.collect_list("thought_id")).alias("member_ids"))
+    ids = F.concat(F.lit("r"), F.substring(F.sha2(F.concat(F.lit('["'), F.array_join("member_ids", '", "'), F.lit('"]')), 256), 1, 16))
+    return C.lineage(summary.select(ids.alias("thought_id"), "member_ids"), CYCLE).select("from_thought_id", "to_thought_id", "weight")
 
 
 @query("e1_top_neighbours", """, u AS (SELECT edge_id, from_thought_id AS thought_id, to_thought_id AS other, weight FROM edge UNION ALL SELECT edge_id, to_thought_id, from_thought_id, weight FROM edge)
@@ -269,6 +374,25 @@ def _(g: Graph) -> DataFrame:
     return R.ranked(R.bm25(g.thought, _TERMS, live(_NOW)), 50).withColumn("score", F.round("score", 6))
 
 
+_FOUND = ", ls AS (SELECT thought_id, " + _TOK.format(cols="essence").replace("concat_ws(' ', essence)", "essence") + " AS e, " + _TOK.format(cols="content").replace("concat_ws(' ', content)", "content") + f" AS c FROM thought WHERE {_LIVE})"
+_PAIR = "(len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'creative' AND {0}[i + 1] = 'commons')) > 0)"
+
+
+def _expert(name: str, text: str, sql: str) -> None:
+    """Which rows a keyword expression matches: their scores are l1's."""
+    @query(name, _FOUND + f" SELECT thought_id FROM ls WHERE {sql}", "thought")
+    def _(g: Graph) -> DataFrame:
+        return R.bm25(g.thought, text, live(_NOW)).select("thought_id")
+
+
+_expert("l2_boolean", "license AND rely OR thand NOT hat", "(list_contains(e, 'license') OR list_contains(c, 'license')) AND (list_contains(e, 'rely') OR list_contains(c, 'rely')) OR (list_contains(e, 'thand') OR list_contains(c, 'thand')) AND NOT (list_contains(e, 'hat') OR list_contains(c, 'hat'))")
+_expert("l2_phrase", '"creative commons" OR "under the apache"', _PAIR.format("e") + " OR " + _PAIR.format("c") + " OR " + " OR ".join(f"len(list_filter(range(1, len({x}) - 1), lambda i: {x}[i] = 'under' AND {x}[i + 1] = 'the' AND {x}[i + 2] = 'apache')) > 0" for x in "ec"))
+_expert("l2_prefix_column", "content:licen* AND essence:a* NOT content:apache", "len(list_filter(c, lambda x: starts_with(x, 'licen'))) > 0 AND len(list_filter(e, lambda x: starts_with(x, 'a'))) > 0 AND NOT list_contains(c, 'apache')")
+_expert("l2_parentheses", "(apache OR mit) AND license", "(list_has_any(e, ['apache', 'mit']) OR list_has_any(c, ['apache', 'mit'])) AND (list_contains(e, 'license') OR list_contains(c, 'license'))")
+_expert("l3_malformed", "rely AND", "list_has_any(e, ['rely', 'and']) OR list_has_any(c, ['rely', 'and'])")
+_expert("f3_bare_text", "what's Apache's license?", "list_has_any(e, ['what', 's', 'apache', 'license']) OR list_has_any(c, ['what', 's', 'apache', 'license'])")
+
+
 def _vector(g: Graph) -> list[float]:
     return g.embedding.filter(F.col("owner_id") == _OWNER).select("vector").first()[0]
 
@@ -313,12 +437,48 @@ def _h50(g: Graph) -> DataFrame:
     return hybrid(g, top_k=50).join(g.thought.select("thought_id", "thought_type", "source"), "thought_id")
 
 
-@query("l13_expansion", _H50 + """, pa AS (SELECT * FROM hy WHERE thought_type = 'REFLECTION' ORDER BY score DESC, thought_id LIMIT 5),
+@query("l13_expansion", _H50 + f""", pa AS (SELECT * FROM hy WHERE thought_type = 'REFLECTION' ORDER BY score DESC, thought_id LIMIT 5),
 o AS (SELECT e.*, pa.score AS parent, count(*) OVER (PARTITION BY from_thought_id) AS n, row_number() OVER (PARTITION BY from_thought_id ORDER BY e.weight DESC, edge_id) AS rank FROM edge e JOIN pa ON pa.thought_id = e.from_thought_id WHERE edge_type = 'CONSOLIDATED_FROM'),
-al AS (SELECT thought_id, score FROM hy UNION ALL SELECT o.to_thought_id, parent * 0.7 * weight FROM o JOIN thought t ON t.thought_id = o.to_thought_id WHERE t.thought_type = 'OBSERVATION' AND n <= 50 AND rank <= 20)
+al AS (SELECT thought_id, score FROM hy UNION ALL SELECT o.to_thought_id, parent * 0.7 * weight FROM o JOIN (SELECT * FROM thought WHERE {_LIVE}) t ON t.thought_id = o.to_thought_id WHERE t.thought_type = 'OBSERVATION' AND n <= 50 AND rank <= 20)
 SELECT thought_id, round(max(score), 6) AS score FROM al GROUP BY 1""", "thought", "embedding", "edge")
 def _(g: Graph) -> DataFrame:
-    return R.expand(_h50(g).select("thought_id", "score"), g.thought, g.edge).withColumn("score", F.round("score", 6))
+    return R.expand(_h50(g).select("thought_id", "score"), g.thought, g.edge, eligible=live(_NOW)).withColumn("score", F.round("score", 6))
+
+
+_POOL200 = _POOL.replace("LIMIT 50", "LIMIT 200")
+_RECALL = _POOL200.replace('{', '{{').replace('}', '}}') + f""", hy AS (SELECT thought_id, thought_type, {_BASE} AS score FROM pool JOIN thought USING (thought_id)),
+pa AS (SELECT * FROM hy WHERE thought_type = 'REFLECTION' ORDER BY score DESC, thought_id LIMIT 5),
+o AS (SELECT e.*, pa.score AS parent, count(*) OVER (PARTITION BY from_thought_id) AS n, row_number() OVER (PARTITION BY from_thought_id ORDER BY e.weight DESC, edge_id) AS rank FROM edge e JOIN pa ON pa.thought_id = e.from_thought_id WHERE edge_type = 'CONSOLIDATED_FROM'),
+al AS (SELECT thought_id, score FROM hy UNION ALL SELECT o.to_thought_id, parent * 0.7 * weight FROM o JOIN (SELECT * FROM thought WHERE {_LIVE}) t ON t.thought_id = o.to_thought_id WHERE t.thought_type = 'OBSERVATION' AND n <= 50 AND rank <= 20),
+ex AS (SELECT thought_id, max(score) AS score FROM al GROUP BY 1), bo AS (SELECT ex.thought_id, t.thought_type, ex.score * CASE WHEN t.thought_type = 'REFLECTION' THEN {{boost}} ELSE 1 END AS score, coalesce(json_extract_string({_JSON}, '$.owner') || '|' || json_extract_string({_JSON}, '$.rank'), t.thought_id) AS unit FROM ex JOIN thought t USING (thought_id) {{where}}),
+co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, thought_id) AS k FROM bo) WHERE k <= {{most}}),
+ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thought_type = 'REFLECTION' ORDER BY score DESC, thought_id) AS z FROM co) WHERE thought_type != 'REFLECTION' OR z <= 3)
+SELECT row_number() OVER (ORDER BY score DESC, thought_id)::INT AS rank, thought_id, round(score, 6) AS score FROM (SELECT * FROM ca ORDER BY score DESC, thought_id LIMIT 10)"""
+
+
+def _recall(name: str, boost: float, most: int, where: str = "", **how) -> None:
+    """The whole search: fusion over pools of 200, expansion, boost, collapse by two metadata keys, cap of three reflections, ten rows."""
+    @query(name, _RECALL.format(boost=boost, most=most, where=where), "thought", "embedding", "edge")
+    def _(g: Graph) -> DataFrame:
+        found = R.search(g.thought, g.embedding, g.edge, list(_TERMS), _vector(g), now=_NOW, cycle=CYCLE, collapse_key=["$.owner", "$.rank"], collapse_max=most, reflection_boost=boost, **how)
+        return found.rows.withColumn("score", F.round("score", 6))
+
+
+_recall("l17_recall", 1.0, 1)
+_recall("l14_boost", 1.5, 2)
+_recall("l14_without_reflections", 1.0, 1, "WHERE t.thought_type != 'REFLECTION'", include_reflections=False)
+
+
+@query("l15_evicted", _RECALL.format(boost=2.0, most=2, where="").partition("ca AS (")[0].rstrip(", \n") + " SELECT greatest(0, count(*) - 3)::INT AS evicted FROM (SELECT * FROM co ORDER BY score DESC, thought_id LIMIT 10) WHERE thought_type = 'REFLECTION'", "thought", "embedding", "edge")
+def _(g: Graph) -> DataFrame:
+    found = R.search(g.thought, g.embedding, g.edge, list(_TERMS), _vector(g), now=_NOW, cycle=CYCLE, collapse_key=["$.owner", "$.rank"], collapse_max=2, reflection_boost=2.0)
+    return g.spark.createDataFrame([(found.reflections_evicted,)], "evicted int")
+
+
+@query("l19_backends", "SELECT unnest(['fts', 'vector', 'recency', 'priority']) AS backend")
+def _(g: Graph) -> DataFrame:
+    found = R.search(g.thought, g.embedding, g.edge, list(_TERMS), _vector(g), now=_NOW, cycle=CYCLE, expansion=False)
+    return g.spark.createDataFrame([(x,) for x in sorted(found.backends_used)], "backend string")
 
 
 def _collapse(name: str, most: int) -> None:
@@ -379,7 +539,7 @@ def _(g: Graph) -> DataFrame:
     return g.thought.select("thought_id", priority_boost().alias("boost"))
 
 
-_SIGNALS = {"recency": "exp(-0.01 * greatest(0, 100 - updated_cycle))", "staleness": "least(1.0, (updated_cycle - created_cycle) / 100.0)", "confirmation": "least(1.0, confirmation_count / 5.0)", "confidence": "coalesce(confidence, 0.5)", "frequency": "least(1.0, access_count / 10.0)"}
+_SIGNALS = {"recency": "exp(-0.01 * greatest(0, 100 - updated_cycle))", "staleness": "least(1.0, (updated_cycle - created_cycle) / 100.0)", "confirmation": "least(1.0, confirmation_count / 5.0)", "confidence": "coalesce(confidence, 0.5)", "frequency": "least(1.0, access_count / 10.0)", "action_outcome": "coalesce(action_outcome_score, 0.0)"}
 
 
 @query("f10_signals", "SELECT thought_id, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in _SIGNALS.items()) + " FROM thought", "thought")
@@ -398,19 +558,19 @@ def _(g: Graph) -> DataFrame:
     return g.base("documents").select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "segment"))
 
 
-@query("f12_split_window", "SELECT doc_id, i::INT AS pos, substr(text, 1 + 300 * i, 400) AS segment FROM (SELECT doc_id, text, unnest(range((length(text) + 299) // 300)) AS i FROM documents WHERE length(text) > 400)")
+@query("f12_split_window", "SELECT doc_id, i::INT AS pos, substr(text, 1 + 300 * i, 400) AS segment FROM (SELECT doc_id, text, unnest(range((length(text) - 400 + 299) // 300 + 1)) AS i FROM documents WHERE length(text) > 400)")
 def _(g: Graph) -> DataFrame:
     return g.base("documents").select("doc_id", F.posexplode(char_windows(F.col("text"), 400, 300)).alias("pos", "segment"))
 
 
-@query("f12_split_words", r"SELECT doc_id, i::INT AS pos, array_to_string(w[1 + 40 * i:50 + 40 * i], ' ') AS segment FROM (SELECT doc_id, w, unnest(range((len(w) + 39) // 40)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x != '') AS w FROM documents) WHERE len(w) > 50)")
+@query("f12_split_words", r"SELECT doc_id, i::INT AS pos, array_to_string(y[1 + 40 * i:least(49 + 40 * i, len(w) - 1)], '') || w[least(50 + 40 * i, len(w))] AS segment FROM (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda k: w[k] || p[k + 1]) AS y, unnest(range((len(w) - 50 + 39) // 40 + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS p FROM documents) WHERE len(w) > 50)")
 def _(g: Graph) -> DataFrame:
     return g.base("documents").select("doc_id", F.posexplode(word_windows(F.col("text"), 50, 40)).alias("pos", "segment"))
 
 
-@query("f16_entities", r"SELECT thought_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(content, '\b[A-Z][A-Za-z0-9]{2,}\b'), lambda x: x NOT IN ('And', 'The', 'This', 'That', 'These', 'Those', 'For', 'From', 'With', 'Not', 'Are', 'Was', 'Have')))), ',') AS entities FROM thought WHERE NOT regexp_matches(content, '[^\x00-\x7F]')", "thought")
+@query("f16_entities", f"SELECT thought_id, array_to_string({_NAMES}, ',') AS entities FROM thought", "thought")
 def _(g: Graph) -> DataFrame:
-    return g.thought.filter(~F.col("content").rlike(r"[^\x00-\x7F]")).select("thought_id", F.array_join(entities(F.col("content")), ",").alias("entities"))
+    return g.thought.select("thought_id", F.array_join(entities(F.col("content")), ",").alias("entities"))
 
 
 @query("k2_dedup", "SELECT content_hash, min(thought_id) AS thought_id, arg_min(confirmation_count, thought_id) + count(*) - 1 AS confirmation_count FROM thought GROUP BY 1", "thought")
@@ -418,17 +578,62 @@ def _(g: Graph) -> DataFrame:
     return S.dedupe(g.thought)
 
 
-@query("k3_get_or_create", ", k AS (SELECT content_hash, min(thought_id) AS known FROM thought WHERE created_cycle < 25 GROUP BY 1) SELECT t.content_hash, coalesce(known, t.thought_id) AS thought_id, known IS NULL AS created FROM thought t LEFT JOIN k USING (content_hash) WHERE created_cycle >= 25", "thought")
+@query("k3_get_or_create", """, k AS (SELECT content_hash, min(thought_id) AS known FROM thought WHERE created_cycle < 25 GROUP BY 1), n AS (SELECT content_hash, min(thought_id) AS first FROM thought WHERE created_cycle >= 25 GROUP BY 1)
+SELECT t.content_hash, coalesce(known, first) AS thought_id, known IS NULL AND t.thought_id = first AS created FROM thought t JOIN n USING (content_hash) LEFT JOIN k USING (content_hash) WHERE created_cycle >= 25""", "thought")
 def _(g: Graph) -> DataFrame:
     return S.get_or_create(g.thought.filter("created_cycle < 25"), g.thought.filter("created_cycle >= 25"))
 
 
-@query("k4_upsert", """, d AS (SELECT content_hash, min(thought_id) AS thought_id, first(priority ORDER BY thought_id) AS priority, first(confidence ORDER BY thought_id) AS confidence FROM thought GROUP BY 1), o AS (SELECT * FROM d WHERE thought_id < 'd000000600'), n AS (SELECT content_hash, concat('n', thought_id) AS thought_id, 'P1' AS priority, 0.9::DOUBLE AS confidence FROM d WHERE thought_id >= 'd000000400')
-SELECT coalesce(o.thought_id, n.thought_id) AS thought_id, content_hash, CASE WHEN n.thought_id IS NOT NULL THEN n.priority ELSE o.priority END AS priority, CASE WHEN n.thought_id IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence FROM o FULL OUTER JOIN n USING (content_hash)""", "thought")
+@query("k1_create_deduplicate", """, o AS (SELECT * FROM thought WHERE created_cycle < 25), n AS (SELECT *, min(thought_id) OVER (PARTITION BY content_hash) AS first FROM thought WHERE created_cycle >= 25), k AS (SELECT content_hash, min(thought_id) AS known FROM o GROUP BY 1),
+h AS (SELECT coalesce(known, first) AS thought_id, count(*) AS more FROM n LEFT JOIN k USING (content_hash) WHERE known IS NOT NULL OR n.thought_id != first GROUP BY 1)
+SELECT thought_id, confirmation_count + coalesce(more, 0) AS confirmation_count, expires_at FROM (SELECT thought_id, confirmation_count, expires_at FROM o UNION ALL SELECT thought_id, confirmation_count, coalesce(expires_at, TIMESTAMP '2024-02-15 01:00:00') FROM n WHERE thought_id = first AND content_hash NOT IN (SELECT content_hash FROM k)) LEFT JOIN h USING (thought_id)""", "thought")
+def _(g: Graph) -> DataFrame:
+    out, _conflict = S.create(g.thought.filter("created_cycle < 25"), g.thought.filter("created_cycle >= 25"), _NOW, deduplicate=True, default_ttl_s=3600)
+    return out.select("thought_id", "confirmation_count", "expires_at")
+
+
+@query("k1_conflicts", "SELECT thought_id FROM thought WHERE created_cycle BETWEEN 20 AND 24", "thought")
+def _(g: Graph) -> DataFrame:
+    return S.create(g.thought.filter("created_cycle < 25"), g.thought.filter("created_cycle >= 20"), _NOW)[1].select("thought_id")
+
+
+@query("k6_remember", "SELECT concat('m', doc_id) AS thought_id, substr(text, 1, 200) AS essence, sha256(text) AS content_hash, 'NOTE' AS thought_type, 'P3' AS priority, 'ACTIVE' AS lifecycle_status, cast(0 AS BIGINT) AS created_cycle FROM documents")
+def _(g: Graph) -> DataFrame:
+    texts = g.base("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("thought_id"), "text")
+    return S.remembered(texts).select("thought_id", "essence", "content_hash", "thought_type", "priority", "lifecycle_status", "created_cycle")
+
+
+@query("k9_restore", "SELECT thought_id, CASE WHEN lifecycle_status = 'ARCHIVED' AND priority = 'P2' THEN 'ACTIVE' ELSE lifecycle_status END AS lifecycle_status, CASE WHEN lifecycle_status != 'ARCHIVED' OR priority != 'P2' THEN archived_at END AS archived_at, revision + (lifecycle_status = 'ARCHIVED' AND priority = 'P2')::INT AS revision FROM thought", "thought")
 def _(g: Graph) -> DataFrame:
-    d = g.thought.groupBy("content_hash").agg(F.min("thought_id").alias("thought_id"), F.min_by("priority", "thought_id").alias("priority"), F.min_by("confidence", "thought_id").alias("confidence"))
-    new = d.filter("thought_id >= 'd000000400'").select("content_hash", F.concat(F.lit("n"), "thought_id").alias("thought_id"), F.lit("P1").alias("priority"), F.lit(0.9).alias("confidence"))
-    return S.upsert(d.filter("thought_id < 'd000000600'"), new, ["priority", "confidence"])
+    return S.restore(g.thought, g.thought.filter("priority = 'P2'").select("thought_id"))[0].select("thought_id", "lifecycle_status", "archived_at", "revision")
+
+
+@query("k13_create_edges", """, n AS (SELECT 'n' || edge_id AS edge_id, to_thought_id AS a, from_thought_id AS b, edge_type, weight FROM edge), t AS (SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE'),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b, edge_type ORDER BY edge_id) AS nth FROM n)
+SELECT edge_id, CASE WHEN a NOT IN (FROM t) OR b NOT IN (FROM t) THEN 'endpoint' WHEN nth > 1 OR EXISTS (SELECT 1 FROM edge e WHERE e.from_thought_id = a AND e.to_thought_id = b AND e.edge_type = r.edge_type) THEN 'duplicate' END AS reason FROM r""", "thought", "edge")
+def _(g: Graph) -> DataFrame:
+    new = g.edge.select(F.concat(F.lit("n"), "edge_id").alias("edge_id"), F.col("to_thought_id").alias("from_thought_id"), F.col("from_thought_id").alias("to_thought_id"), "edge_type", "weight")
+    out, bad = S.create_edges(g.edge, new, g.thought.filter("lifecycle_status = 'ACTIVE'"))
+    return out.filter(F.startswith("edge_id", F.lit("n"))).select("edge_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("edge_id", "reason"))
+
+
+@query("k15_update_actions", """, c AS (SELECT action_id, status, CASE intent WHEN 'click' THEN 'EXECUTING' WHEN 'view' THEN 'CONFIRMED' ELSE 'FAILED' END AS new FROM action)
+SELECT action_id, CASE WHEN status = new OR (status = 'PLANNED' AND new IN ('EXECUTING', 'BLOCKED')) OR (status = 'EXECUTING' AND new IN ('CONFIRMED', 'FAILED')) OR (status = 'BLOCKED' AND new = 'PLANNED') THEN new ELSE status END AS status FROM c""", "action")
+def _(g: Graph) -> DataFrame:
+    new = F.when(F.col("intent") == "click", "EXECUTING").when(F.col("intent") == "view", "CONFIRMED").otherwise("FAILED")
+    return S.update_actions(g.action, g.action.select("action_id", new.alias("status"), F.lit(None).cast("string").alias("verification_status")))[0].select("action_id", "status")
+
+
+@query("k15_outcome_of_records", "SELECT thought_id, round(score, 6) AS score FROM thought LEFT JOIN (SELECT source_thought_id, avg(CASE WHEN status = 'FAILED' THEN 0.0 WHEN status = 'CONFIRMED' THEN CASE verification_status WHEN 'CONFIRMED' THEN 1.0 WHEN 'FAILED' THEN 0.0 ELSE 0.5 END END) AS score FROM action GROUP BY 1) a ON source_thought_id = thought_id", "thought", "action")
+def _(g: Graph) -> DataFrame:
+    return g.thought.select("thought_id").join(S.outcomes(g.action).withColumnRenamed("source_thought_id", "thought_id"), "thought_id", "left").select("thought_id", F.round("score", 6).alias("score"))
+
+
+@query("k4_upsert", """, d AS (SELECT * FROM thought WHERE thought_id < 'd000000600'), o AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY thought_id) AS nth FROM d), n AS (SELECT content_hash, concat('n', max(thought_id)) AS id, 'P1' AS priority, 0.9::DOUBLE AS confidence FROM thought WHERE thought_id >= 'd000000400' GROUP BY 1)
+SELECT coalesce(o.thought_id, n.id) AS thought_id, coalesce(o.content_hash, n.content_hash) AS content_hash, coalesce(n.priority, o.priority) AS priority, coalesce(n.confidence, o.confidence) AS confidence, o.source FROM o FULL OUTER JOIN n ON o.content_hash = n.content_hash AND o.nth = 1""", "thought")
+def _(g: Graph) -> DataFrame:
+    new = g.thought.filter("thought_id >= 'd000000400'").select("content_hash", F.concat(F.lit("n"), "thought_id").alias("thought_id"), F.lit("P1").alias("priority"), F.lit(0.9).alias("confidence"))
+    return S.upsert(g.thought.filter("thought_id < 'd000000600'"), new).select("thought_id", "content_hash", "priority", "confidence", "source")
 
 
 @query("k7_update_stale", "SELECT thought_id FROM thought WHERE created_cycle % 2 = 1 AND priority = 'P2'", "thought")
@@ -449,55 +654,101 @@ def _(g: Graph) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("k11_ttl", f"SELECT thought_id, CASE WHEN pinned THEN 'kept' ELSE 'archived' END AS outcome FROM thought WHERE expires_at <= TIMESTAMP '{NOW}'", "thought")
+@query("k11_ttl", f"SELECT thought_id, CASE WHEN pinned THEN 'kept' ELSE 'archived' END AS outcome FROM thought WHERE expires_at <= TIMESTAMP '{NOW}' AND (pinned OR lifecycle_status != 'ARCHIVED')", "thought")
 def _(g: Graph) -> DataFrame:
     return S.expire(g.thought, _NOW)
 
 
-@query("k12_access_flush", "SELECT thought_id, access_count + coalesce(n, 0) AS access_count FROM thought LEFT JOIN (SELECT source_thought_id, count(*) AS n FROM action GROUP BY 1) a ON source_thought_id = thought_id", "thought", "action")
+@query("k11_ttl_delete", f"SELECT count(*) FILTER (NOT pinned) AS processed, count(*) FILTER (pinned) AS pinned FROM thought WHERE expires_at <= TIMESTAMP '{NOW}' AND thought_id != 'd000000008'", "thought")
+def _(g: Graph) -> DataFrame:
+    return S.expired_counts(S.expire(g.thought, _NOW, "delete", exclude="d000000008"))
+
+
+@query("k12_access_flush", "SELECT thought_id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed_at, latest) AS last_accessed_at FROM thought LEFT JOIN (SELECT source_thought_id, count(*) AS n, max(created_at) AS latest FROM action GROUP BY 1) a ON source_thought_id = thought_id", "thought", "action")
 def _(g: Graph) -> DataFrame:
-    seen = g.action.groupBy(F.col("source_thought_id").alias("thought_id")).agg(F.count("*").alias("n"))
-    return g.thought.select("thought_id", "access_count").join(seen, "thought_id", "left").select("thought_id", (F.col("access_count") + F.coalesce("n", F.lit(0))).alias("access_count"))
+    return S.touched(g.thought, g.action.select(F.col("source_thought_id").alias("thought_id"), F.col("created_at").alias("at"))).select("thought_id", "access_count", "last_accessed_at")
+
+
+#: props are JSON objects of one key, so their canonical form is their text.
+_CHAIN = """, ch AS (SELECT service, sequence_number, mutation_type, target_id, delta, created_at, cast(NULL AS VARCHAR) AS parent_hash, sha256(concat(sequence_number, '|', mutation_type, '|', target_id, '|', delta, '|')) AS entry_hash FROM journal_input WHERE sequence_number = 1
+UNION ALL SELECT j.service, j.sequence_number, j.mutation_type, j.target_id, j.delta, j.created_at, ch.entry_hash, sha256(concat(j.sequence_number, '|', j.mutation_type, '|', j.target_id, '|', j.delta, '|', ch.entry_hash)) FROM ch JOIN journal_input j ON j.service = ch.service AND j.sequence_number = ch.sequence_number + 1)"""
 
 
-_CHAIN = """, ch AS (SELECT sequence_number, mutation_type, target_id, delta, '' AS parent_hash, sha256(concat_ws('|', sequence_number, mutation_type, target_id, delta, '')) AS entry_hash FROM journal_input WHERE sequence_number = 1
-UNION ALL SELECT j.sequence_number, j.mutation_type, j.target_id, j.delta, ch.entry_hash, sha256(concat_ws('|', j.sequence_number, j.mutation_type, j.target_id, j.delta, ch.entry_hash)) FROM ch JOIN journal_input j ON j.sequence_number = ch.sequence_number + 1)"""
+def _chain(g: Graph) -> DataFrame:
+    return g.journal_input.join(S.append_journal(g.journal_input, "service"), ["service", "sequence_number"])
 
 
-def _journal(g: Graph) -> DataFrame:
-    return g.journal_input.select("sequence_number", "mutation_type", "target_id", "delta")
+@query("k16_journal_append", _CHAIN + " SELECT service, sequence_number, parent_hash, entry_hash FROM ch", "journal_input")
+def _(g: Graph) -> DataFrame:
+    return S.append_journal(g.journal_input, "service")
 
 
-@query("k16_journal_append", _CHAIN + " SELECT sequence_number, parent_hash, entry_hash FROM ch", "journal_input")
+@query("e5_journal_verify", _CHAIN + """, ta AS (SELECT service, sequence_number, mutation_type, target_id, CASE WHEN service = 's3' AND sequence_number IN (21, 40) THEN '{}' ELSE delta END AS delta, parent_hash, CASE WHEN service = 's5' AND sequence_number = 30 THEN 'x' ELSE entry_hash END AS entry_hash FROM ch WHERE NOT (service = 's7' AND sequence_number = 11)),
+ve AS (SELECT *, entry_hash != sha256(concat(sequence_number, '|', mutation_type, '|', target_id, '|', delta, '|', parent_hash)) OR parent_hash IS DISTINCT FROM lag(entry_hash) OVER (PARTITION BY service ORDER BY sequence_number) AS bad FROM ta)
+SELECT service, min(sequence_number) FILTER (bad) AS first_broken, count(*) AS entries, NOT bool_or(bad) AS valid FROM ve GROUP BY 1""", "journal_input")
 def _(g: Graph) -> DataFrame:
-    return S.append_journal(_journal(g))
+    """Two changed deltas in one service, a changed hash in another, a missing entry in a third."""
+    s, n = F.col("service"), F.col("sequence_number")
+    chain = _chain(g).filter(~((s == "s7") & (n == 11)))
+    chain = chain.withColumn("delta", F.when((s == "s3") & n.isin(21, 40), "{}").otherwise(F.col("delta"))).withColumn("entry_hash", F.when((s == "s5") & (n == 30), "x").otherwise(F.col("entry_hash")))
+    return S.verify_journal(chain, "service", block=16)
 
 
-@query("e5_journal_verify", "SELECT cast(321 AS BIGINT) AS first_broken, count(*) AS entries FROM journal_input", "journal_input")
+@query("g7_read_journal", _CHAIN + " SELECT sequence_number, target_id, entry_hash FROM ch WHERE service = 's2' AND mutation_type = 'CLICK' AND created_at >= TIMESTAMP '2024-01-02 00:00:00' ORDER BY sequence_number LIMIT 20", "journal_input")
 def _(g: Graph) -> DataFrame:
-    chain = _journal(g).join(S.append_journal(_journal(g)), "sequence_number")
-    return S.verify_journal(chain.withColumn("delta", F.when(F.col("sequence_number") == 321, "{}").otherwise(F.col("delta"))))
+    return S.read_journal(_chain(g).filter("service = 's2'"), kind="CLICK", since=datetime(2024, 1, 2), limit=20).select("sequence_number", "target_id", "entry_hash")
 
 
+_W = {"recency": 0.25, "staleness": 0.20, "confirmation": 0.20, "confidence": 0.15, "frequency": 0.20, "action_outcome": 0.15}
 _CAND = "cand AS (SELECT * FROM thought WHERE lifecycle_status = 'ACTIVE')"
-_M3 = ", " + _CAND + ", sc AS (SELECT *, 0.25 * " + _SIGNALS["recency"] + " + 0.10 * " + _SIGNALS["staleness"] + " + 0.25 * " + _SIGNALS["confirmation"] + " + 0.20 * " + _SIGNALS["confidence"] + " + 0.20 * " + _SIGNALS["frequency"] + " AS score FROM cand)"
+_M3 = ", " + _CAND + ", sc AS (SELECT *, (" + " + ".join(f"{w} * {_SIGNALS[k]}" for k, w in _W.items()) + ") / 1.15 AS score FROM cand)"
 
 
 def _scored(g: Graph) -> DataFrame:
     return C.promotion_scores(g.thought.filter("lifecycle_status = 'ACTIVE'"), CYCLE)
 
 
+@query("m1_pool", "SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE' ORDER BY updated_cycle DESC, thought_id LIMIT 200", "thought")
+def _(g: Graph) -> DataFrame:
+    return C.candidates(g.thought).select("thought_id")
+
+
+@query("h3_cluster_pool", "(SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE' AND thought_type = 'OBSERVATION' ORDER BY updated_cycle DESC, thought_id LIMIT 30) UNION ALL (SELECT thought_id FROM thought WHERE lifecycle_status = 'ACTIVE' AND thought_type = 'BELIEF' ORDER BY updated_cycle DESC, thought_id LIMIT 30)", "thought")
+def _(g: Graph) -> DataFrame:
+    return C.cluster_pool(g.thought, ("OBSERVATION", "BELIEF"), 30).select("thought_id")
+
+
 @query("m3_score", _M3 + " SELECT thought_id, round(score, 6) AS score FROM sc", "thought")
 def _(g: Graph) -> DataFrame:
     return _scored(g).select("thought_id", F.round("score", 6).alias("score"))
 
 
-@query("m5_promote", _M3 + " SELECT thought_id, round(score, 6) AS score FROM sc WHERE 100 - created_cycle >= 5 AND confirmation_count >= 1 AND score > 0.5 AND priority != 'P1' AND thought_type IN ('OBSERVATION', 'BELIEF') ORDER BY updated_cycle DESC, thought_id LIMIT (SELECT least(20, greatest(0, greatest(1, (count(*) * 0.9)::INT) - count(*) FILTER (priority = 'P1'))) FROM cand)", "thought")
+@query("m2_inactive_signals", ", po AS (SELECT *, (0.25 * " + _SIGNALS["recency"] + " + 0.20 * " + _SIGNALS["staleness"] + " + 0.20 * " + _SIGNALS["frequency"] + ") / 0.65 AS score FROM thought WHERE confirmation_count = 0 AND confidence IS NULL AND action_outcome_score IS NULL) SELECT thought_id, round(score, 6) AS score FROM po", "thought")
+def _(g: Graph) -> DataFrame:
+    pool = g.thought.filter("confirmation_count = 0 AND confidence IS NULL AND action_outcome_score IS NULL")
+    return C.promotion_scores(pool, CYCLE).select("thought_id", F.round("score", 6).alias("score"))
+
+
+@query("j3_custom_signal", _M3.replace(") / 1.15 AS score", " + 0.35 * least(1.0, length(content) / 1000.0)) / 1.5 AS score") + " SELECT thought_id, round(score, 6) AS score FROM sc", "thought")
+def _(g: Graph) -> DataFrame:
+    long = F.least(F.lit(1.0), F.char_length("content") / F.lit(1000.0))
+    return C.promotion_scores(g.thought.filter("lifecycle_status = 'ACTIVE'"), CYCLE, custom={"long": (long, 0.35)}).select("thought_id", F.round("score", 6).alias("score"))
+
+
+_GATES = "(j IS NULL OR coalesce(json_extract_string(j, '$.content_type'), '') != 'code') AND 100 - created_cycle >= 1 AND score > {{over}} AND priority != 'P1' AND thought_type IN ('OBSERVATION')"
+
+
+@query("m5_promote", _M3 + f", sj AS (SELECT *, {_JSON} AS j FROM sc) SELECT thought_id, round(score, 6) AS score FROM sj WHERE {_GATES.format(over=0.4)} ORDER BY updated_cycle DESC, thought_id LIMIT (SELECT least(20, greatest(0, greatest(1, (count(*) * 0.3)::INT) - count(*) FILTER (priority = 'P1'))) FROM thought)", "thought")
+def _(g: Graph) -> DataFrame:
+    return C.promote(_scored(g), CYCLE, C.p1_slots(g.thought, 0.3), threshold=0.4).withColumn("score", F.round("score", 6))
+
+
+@query("m4_confirmations", _M3 + f", sj AS (SELECT *, {_JSON} AS j FROM sc) SELECT thought_id, round(score, 6) AS score FROM sj WHERE {_GATES.format(over=0.3)} AND confirmation_count >= 2 AND 100 - created_cycle >= 70 ORDER BY updated_cycle DESC, thought_id LIMIT 15", "thought")
 def _(g: Graph) -> DataFrame:
-    return C.promote(_scored(g), CYCLE, p1_share=0.9).withColumn("score", F.round("score", 6))
+    return C.promote(_scored(g), CYCLE, 1000, threshold=0.3, allow_zero=False, min_age=70, most=15).withColumn("score", F.round("score", 6))
 
 
-_KEEP = f", pool AS (SELECT * FROM thought WHERE (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND lifecycle_status IN ('ACTIVE', 'CREATED')), ks AS (SELECT *, 0.30 * {_SIGNALS['recency']} + 0.25 * {_SIGNALS['frequency']} + 0.20 * {_SIGNALS['confirmation']} + 0.15 * {_SIGNALS['confidence']} + 0.10 * (1 - {_SIGNALS['staleness']}) AS keep_score FROM pool)"
+_KEEP = f", pool AS (SELECT * FROM thought WHERE (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND lifecycle_status IN ('ACTIVE', 'CREATED')), ks AS (SELECT *, 0.30 * {_SIGNALS['recency']} + 0.25 * {_SIGNALS['frequency']} + 0.20 * {_SIGNALS['confirmation']} + 0.15 * {_SIGNALS['confidence']} + 0.10 * {_SIGNALS['staleness']} AS keep_score FROM pool)"
 
 
 @query("n3_keep_score", _KEEP + " SELECT thought_id, round(keep_score, 6) AS keep_score FROM ks", "thought")
@@ -505,11 +756,32 @@ def _(g: Graph) -> DataFrame:
     return H.keep_scores(g.thought, CYCLE, _NOW).select("thought_id", F.round("keep_score", 6).alias("keep_score"))
 
 
-@query("n5_archive", _KEEP + f" SELECT thought_id, round(keep_score, 6) AS eviction_score FROM ks WHERE NOT pinned AND priority != 'P1' AND epoch(TIMESTAMP '{NOW}') - epoch(coalesce(last_accessed_at, updated_at, created_at)) >= 604800 AND keep_score < 0.45 ORDER BY keep_score, created_at NULLS FIRST, thought_id LIMIT 100", "thought")
+_OPEN = f"NOT pinned AND priority != 'P1' AND epoch(TIMESTAMP '{NOW}') - epoch(coalesce(last_accessed_at, updated_at, created_at)) >= 604800"
+
+
+@query("n5_archive", _KEEP + f" SELECT thought_id, round(keep_score, 6) AS eviction_score FROM ks WHERE {_OPEN} AND keep_score < 0.45 ORDER BY keep_score, created_at NULLS FIRST, thought_id LIMIT 100", "thought")
 def _(g: Graph) -> DataFrame:
     return H.to_archive(H.keep_scores(g.thought, CYCLE, _NOW), _NOW, threshold=0.45).withColumn("eviction_score", F.round("eviction_score", 6))
 
 
+@query("n5_decay", _KEEP + f" SELECT thought_id, round(keep_score * 0.5, 6) AS eviction_score FROM ks WHERE {_OPEN} AND keep_score * 0.5 < 0.2 ORDER BY keep_score * 0.5, created_at NULLS FIRST, thought_id LIMIT 100", "thought")
+def _(g: Graph) -> DataFrame:
+    return H.to_archive(H.keep_scores(g.thought, CYCLE, _NOW), _NOW, decay=F.lit(0.5)).withColumn("eviction_score", F.round("eviction_score", 6))
+
+
+@query("n8_archived", _KEEP + f""", ar AS (SELECT thought_id FROM ks WHERE {_OPEN} AND keep_score < 0.45 ORDER BY keep_score, created_at NULLS FIRST, thought_id LIMIT 100)
+SELECT thought_id, CASE WHEN hit THEN 'ARCHIVED' ELSE lifecycle_status END AS lifecycle_status, CASE WHEN hit THEN 100 ELSE archived_at_cycle END AS archived_at_cycle, CASE WHEN NOT hit THEN expires_at END AS expires_at, revision + hit::INT AS revision FROM (SELECT *, thought_id IN (FROM ar) AS hit FROM thought)""", "thought")
+def _(g: Graph) -> DataFrame:
+    chosen = H.to_archive(H.keep_scores(g.thought, CYCLE, _NOW), _NOW, threshold=0.45)
+    return H.archived(g.thought, chosen, CYCLE, _NOW).select("thought_id", "lifecycle_status", "archived_at_cycle", "expires_at", "revision")
+
+
+@query("n10_dry_run", _KEEP + f""", ta AS (SELECT *, CASE WHEN pinned THEN 'pinned' WHEN priority = 'P1' THEN 'priority' WHEN NOT coalesce({_OPEN}, false) THEN 'recent' WHEN keep_score >= 0.45 THEN 'kept' END AS why FROM ks),
+ra AS (SELECT *, row_number() OVER (PARTITION BY why IS NULL ORDER BY keep_score, created_at NULLS FIRST, thought_id) AS k FROM ta) SELECT thought_id, round(keep_score, 6) AS eviction_score, coalesce(why, CASE WHEN k <= 20 THEN 'archive' ELSE 'cap' END) AS outcome FROM ra""", "thought")
+def _(g: Graph) -> DataFrame:
+    return H.reviewed(H.keep_scores(g.thought, CYCLE, _NOW), _NOW, threshold=0.45, cap=20).withColumn("eviction_score", F.round("eviction_score", 6))
+
+
 @query("n9_gc", f"SELECT thought_id FROM thought WHERE lifecycle_status = 'ARCHIVED' AND NOT pinned AND priority != 'P1' AND 100 - archived_at_cycle >= 10 AND epoch(TIMESTAMP '{NOW}') - epoch(archived_at) >= 2592000", "thought")
 def _(g: Graph) -> DataFrame:
     return H.to_collect(g.thought, CYCLE, _NOW)
@@ -560,3 +832,116 @@ def _(g: Graph) -> DataFrame:
 @query("d21_scores_by_type", "SELECT role, count(*) AS turns, round(avg(CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM conversations GROUP BY ROLLUP (role)")
 def _(g: Graph) -> DataFrame:
     return g.base("conversations").rollup("role").agg(F.count("*").alias("turns"), F.round(F.avg(F.contains(F.lower("text"), F.lit("the")).cast("double")), 6).alias("hit_rate"))
+
+
+@query("a2_get", "SELECT thought_id, priority FROM thought WHERE thought_id = 'd000000042'", "thought")
+def _(g: Graph) -> DataFrame:
+    return g.thought.filter("thought_id = 'd000000042'").select("thought_id", "priority")
+
+
+@query("a4_count_unexpired", f"SELECT count(*) AS n FROM thought WHERE thought_type = 'NOTE' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')", "thought")
+def _(g: Graph) -> DataFrame:
+    at = F.lit(NOW).cast("timestamp_ntz")
+    return g.thought.filter((F.col("thought_type") == "NOTE") & (F.col("expires_at").isNull() | (F.col("expires_at") > at))).agg(F.count("*").alias("n"))
+
+
+@query("a6_list_edges", "SELECT edge_id, created_cycle FROM edge WHERE edge_type = 'ASSOCIATED' AND source = 'EXPERIENCE' ORDER BY created_cycle DESC, edge_id LIMIT 200", "edge")
+def _(g: Graph) -> DataFrame:
+    return g.edge.filter("edge_type = 'ASSOCIATED' AND source = 'EXPERIENCE'").orderBy(F.col("created_cycle").desc(), "edge_id").limit(200).select("edge_id", "created_cycle")
+
+
+@query("a7_embedding_and_actions", "SELECT a.action_id, a.status, v.dimension::INT AS dimension FROM action a LEFT JOIN embedding v ON v.owner_id = a.source_thought_id WHERE a.source_thought_id = 'd000000014'", "action", "embedding")
+def _(g: Graph) -> DataFrame:
+    one = g.embedding.filter("owner_id = 'd000000014'").select(F.col("owner_id").alias("source_thought_id"), F.col("dimension").cast("int").alias("dimension"))
+    return g.action.filter("source_thought_id = 'd000000014'").join(one, "source_thought_id", "left").select("action_id", "status", "dimension")
+
+
+@query("a8_snapshot_round_trip", "SELECT thought_id, essence, created_cycle, confidence, created_at, valid_until, pinned::BIGINT AS pinned, metadata_json FROM thought", "thought")
+def _(g: Graph) -> DataFrame:
+    text = snapshot.lines({"thought": g.thought, "edge": g.edge})
+    return snapshot.parsed(text, "thought")[0].select("thought_id", "essence", "created_cycle", "confidence", "created_at", "valid_until", "pinned", "metadata_json")
+
+
+@query("c11_restore_conflicts", "SELECT edge_id FROM edge WHERE created_cycle BETWEEN 20 AND 30", "edge")
+def _(g: Graph) -> DataFrame:
+    return snapshot.merged(g.edge.filter("created_cycle <= 30"), g.edge.filter("created_cycle >= 20"), "edge_id")[1]
+
+
+@query("a9_restore", "SELECT edge_id, edge_type FROM edge WHERE created_cycle < 20 OR created_cycle > 30 OR created_cycle BETWEEN 20 AND 30", "edge")
+def _(g: Graph) -> DataFrame:
+    return snapshot.merged(g.edge.filter("created_cycle <= 30"), g.edge.filter("created_cycle >= 20"), "edge_id")[0].select("edge_id", "edge_type")
+
+
+@query("a13_bag_of_words", r""", w AS (SELECT thought_id, unnest(list_filter(regexp_split_to_array(lower(essence), '[^\p{L}\p{N}]+'), lambda x: x != '')) AS x FROM thought), c AS (SELECT thought_id, (('0x' || substr(sha1(x), 1, 8))::BIGINT % 256)::INT AS pos, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT thought_id, pos, round((n / sqrt(sum(n * n) OVER (PARTITION BY thought_id)))::DOUBLE, 5) AS value FROM c""", "thought")
+def _(g: Graph) -> DataFrame:
+    at = g.thought.select("thought_id", F.posexplode(bag_of_words(F.col("essence"))).alias("pos", "value"))
+    return at.filter("value > 0").select("thought_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query("a17_turns", "SELECT concat('c', conv_id) AS session_id, turn::INT AS turn, role, text AS content FROM conversations")
+def _(g: Graph) -> DataFrame:
+    """Turns as nested questions and back, as their loader reads them."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"))
+    session = g.base("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    nested = session.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns"), F.transform("t", lambda x: x["turn"]).alias("places"))
+    question = nested.select(F.col("session_id").alias("question_id"), F.array(F.struct("session_id", "turns")).alias("haystack_sessions"), F.array("session_id").alias("answer_session_ids"), "places")
+    told = conversations.turns(question).join(question.select("question_id", "places"), "question_id")
+    return told.select("session_id", F.get("places", F.col("turn")).cast("int").alias("turn"), "role", "content")
+
+
+@query("d19_embedding_identities", "SELECT DISTINCT model_name, dimension::INT AS dimension FROM embedding", "embedding")
+def _(g: Graph) -> DataFrame:
+    return g.embedding.select("model_name", F.col("dimension").cast("int").alias("dimension")).distinct()
+
+
+@query("f23_transitions", """, s AS (SELECT unnest(['CREATED', 'ACTIVE', 'DONE', 'ARCHIVED']) AS new) SELECT lifecycle_status, new, count(*) AS n, (lifecycle_status = 'CREATED' AND new = 'ACTIVE') OR (lifecycle_status = 'ACTIVE' AND new IN ('DONE', 'ARCHIVED')) OR (lifecycle_status = 'DONE' AND new = 'ARCHIVED') OR (lifecycle_status = 'ARCHIVED' AND new = 'ACTIVE') AS may FROM thought, s GROUP BY ALL""", "thought")
+def _(g: Graph) -> DataFrame:
+    states = F.explode(F.array(*map(F.lit, S.LIFECYCLE)))
+    rows = g.thought.groupBy("lifecycle_status").agg(F.count("*").alias("n")).withColumn("new", states)
+    return rows.select("lifecycle_status", "new", "n", S.may_follow(S.LIFECYCLE, F.col("lifecycle_status"), F.col("new")).alias("may"))
+
+
+@query("f25_metadata", """SELECT doc_id, '{"perspective":"percept","source":{"is_self":false,"confidence":"medium","id":"x"},"lang":"de","content_type":"natural_language"}' AS metadata FROM documents""")
+def _(g: Graph) -> DataFrame:
+    return g.base("documents").select("doc_id", conversations.metadata("percept", source_id="x", confidence="medium", lang="de").alias("metadata"))
+
+
+@query("f26_max_cosine", ", s AS (SELECT x.owner_id, max(list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[])) AS best FROM embedding x JOIN embedding y ON y.owner_id IN ('d000000003', 'd000000004', 'd000000005') GROUP BY 1) SELECT owner_id, best >= 0.3 AS hit FROM s", "embedding")
+def _(g: Graph) -> DataFrame:
+    answers = [r[0] for r in g.embedding.filter(F.col("owner_id").isin("d000000003", "d000000004", "d000000005")).select("vector").collect()]
+    best = F.greatest(*[cosine(F.col("vector"), F.array(*map(F.lit, map(float, v)))) for v in answers])
+    return g.embedding.select("owner_id", (best >= 0.3).alias("hit"))
+
+
+_SPLIT = "SELECT thought_id AS source_id, unnest(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 1)) AS content FROM thought WHERE len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 1)) BETWEEN 2 AND 32"
+
+
+def _derived(g: Graph):
+    return D.derive(g.thought, paragraphs(F.col("content")), g.thought, g.edge, on_error="log")
+
+
+@query("j4_derived_records", f", p AS ({_SPLIT}) SELECT DISTINCT concat('c', substr(sha256(content), 1, 32)) AS thought_id, content FROM p", "thought")
+def _(g: Graph) -> DataFrame:
+    return _derived(g)[0].select("thought_id", "content")
+
+
+@query("j4_derived_edges", f", p AS ({_SPLIT}) SELECT DISTINCT concat('c', substr(sha256(content), 1, 32)) AS from_thought_id, source_id AS to_thought_id FROM p", "thought")
+def _(g: Graph) -> DataFrame:
+    return _derived(g)[1].select("from_thought_id", "to_thought_id")
+
+
+@query("j5_backfill", f""", p AS ({_SPLIT}), l AS (SELECT thought_id, len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 1)) AS n FROM thought)
+SELECT thought_id, cast(0 AS BIGINT) AS created, coalesce(count(source_id), 0) AS reused, any_value(CASE WHEN n > 32 THEN n ELSE 0 END) AS skipped FROM l LEFT JOIN p ON source_id = thought_id GROUP BY 1""", "thought")
+def _(g: Graph) -> DataFrame:
+    """Run again over records whose children are there: all are reused."""
+    new = _derived(g)[0]
+    return D.derive(g.thought, paragraphs(F.col("content")), g.thought.select("thought_id").unionByName(new.select("thought_id")), g.edge, on_error="log")[2]
+
+
+@query("m18_counters", _M3 + """ SELECT count(*) AS candidates_evaluated, (count(*) FILTER (100 - created_cycle < 60)) AS skipped_gate_count, cast(0 AS BIGINT) AS promoted_count, (SELECT count(*) FROM edge WHERE edge_type = 'CONSOLIDATED_FROM') AS edges_created,
+  (SELECT count(*) FROM thought WHERE thought_type = 'REFLECTION') AS reflections_created, cast(0 AS BIGINT) AS orphans_retired, round((SELECT count(*) FILTER (priority = 'P1') / count(*)::DOUBLE FROM thought), 6) AS p1_fraction_after FROM sc""", "thought", "edge")
+def _(g: Graph) -> DataFrame:
+    none, made = g.thought.limit(0), g.edge.filter("edge_type = 'CONSOLIDATED_FROM'")
+    told = C.counters(_scored(g), none, made, g.thought.filter("thought_type = 'REFLECTION'"), none, g.thought, CYCLE, min_age=60)
+    return told.withColumn("p1_fraction_after", F.round("p1_fraction_after", 6))
