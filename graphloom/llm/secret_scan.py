@@ -1,21 +1,22 @@
-"""Secret scans through a trigram index, in DataFrame functions only.
+"""Secret scans through a trigram inverted index, in DataFrame functions only.
 
-From each rule's regular expression a Boolean query over trigrams is derived that every match satisfies.
-The index has a posting for each trigram of these queries and each document that contains it. Postings are
-kept aligned with the documents' rows, as one bit per trigram, so that intersecting and uniting them is
-bit arithmetic and needs no shuffle. Only a document in a rule's result is searched for it; a rule without
-mandatory trigrams searches all documents.
+From each rule's regular expression a Boolean query over trigrams is derived that every match satisfies. The
+index has a posting (trigram, row) for each trigram of these queries and each text that contains it, in a
+table sorted by trigram. A rule's postings are intersected and united by row, which gives its candidates; only
+those are searched for it, and a rule without mandatory trigrams searches all texts. Texts aren't shuffled:
+candidates are told to blocks of written partitions, each block's by a broadcast of bounded size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, table
+from .common import free, fresh_path, materialize, part_of, table
 from .quality_rules import let
 
 
@@ -45,8 +46,8 @@ MORE = (
     Rule("private_key", r"BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
     Rule("slack", r"xox[bp]-[A-Za-z0-9-]{10,}"),
 )
-#: Alternatives of a literal that are told apart before the query is cut there.
-_WAYS = 16
+#: Alternatives of a literal that are told apart before the query is cut there; candidates that are broadcast at a time.
+_WAYS, BLOCK = 16, 1 << 18
 
 Terms = frozenset[frozenset[str]]  # any of these sets of trigrams, each with all of its members
 _ANY: Terms = frozenset([frozenset()])
@@ -110,31 +111,24 @@ class Queries:
     """The rules' queries over one numbered vocabulary of trigrams."""
 
     def __init__(self, rules: tuple[Rule, ...]) -> None:
-        self.terms = {r.kind: trigram_query(r.pattern) for r in rules}
-        self.trigrams = sorted(set().union(*(t for terms in self.terms.values() for t in terms)))
-
-    def postings(self, low: Column) -> Column:
-        """array<long>: bit i % 60 of word i // 60 tells whether the lower-case text has trigram i."""
-        def word(k: int) -> Column:
-            out = F.lit(0).cast("long")
-            for i, t in enumerate(self.trigrams[k : k + 60]):
-                out = out.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-            return out
-
-        return F.array(*[word(k) for k in range(0, max(1, len(self.trigrams)), 60)])
-
-    def candidate(self, kind: str, postings: Column) -> Column | None:
-        """Whether a row is in the intersection of the postings of any of the rule's terms; None: all rows are."""
-        if frozenset() in self.terms[kind]:
-            return None
-        out = F.lit(False)
-        for term in sorted(map(sorted, self.terms[kind])):
-            numbers = [self.trigrams.index(t) for t in term]
-            hit = F.lit(True)
-            for k in sorted({i // 60 for i in numbers}):
-                mask = F.lit(sum(1 << i % 60 for i in numbers if i // 60 == k)).cast("long")
-                hit &= F.get(postings, F.lit(k)).bitwiseAND(mask) == mask
-            out |= hit
+        self.terms = [trigram_query(r.pattern) for r in rules]
+        #: Numbers of the rules that no trigram is mandatory for.
+        self.full = [n for n, terms in enumerate(self.terms) if frozenset() in terms]
+        self.trigrams = sorted(set().union(*(t for n, terms in enumerate(self.terms) if n not in self.full for t in terms)))
+
+    def grams(self, text: Column) -> Column:
+        """array<int>: the numbers of the vocabulary's trigrams that the text has, in lower case."""
+        hit = lambda low: F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(self.trigrams)])
+        return F.array_compact(let(F.lower(text), hit))
+
+    def rules_of(self, gram: Column) -> Column:
+        """Of the postings of one row: the numbers of the rules whose query they satisfy, as bits."""
+        out = F.lit(0).cast("long")
+        for n, terms in enumerate(self.terms):
+            if n not in self.full:
+                # A row has each trigram in one posting, so a term's trigrams are all there if as many postings are.
+                whole = [F.count_if(gram.isin(*[self.trigrams.index(t) for t in term])) == len(term) for term in sorted(map(sorted, terms))]
+                out = out.bitwiseOR(F.when(reduce(lambda a, b: a | b, whole), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")))
         return out
 
 
@@ -166,27 +160,63 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.probe or rule.pattern)), let(found, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE, *MORE), into: str = "__spans") -> DataFrame:
-    """docs with a column (`into`): array<struct<start, kind, end>>, kind the rule's number, by start, then kind.
+def index(docs: DataFrame, text_col: str, keep: list[str], queries: Queries) -> tuple[DataFrame, DataFrame]:
+    """(rows, postings), both written: rows (kept struct, text, grams, row) with a number each, postings (gram, row) sorted by gram."""
+    kept = F.struct(*[F.col(c) for c in keep if c != text_col], F.lit(0).alias("_" * 64)).alias("kept")
+    grams = queries.grams(F.coalesce(F.col(text_col), F.lit("")))
+    rows = materialize(docs.select(kept, F.col(text_col).alias("text"), grams.alias("grams"), F.monotonically_increasing_id().alias("row")), "secrets-rows")
+    postings = rows.select(F.explode("grams").alias("gram"), "row")
+    return rows, materialize(postings.repartitionByRange("gram", "row").sortWithinPartitions("gram", "row"), "secrets-postings")
 
-    Null and empty texts have no span. Places count code points. Each row is scanned alone: ties, repeated
+
+def candidates(postings: DataFrame, queries: Queries) -> DataFrame:
+    """(row, rules), written: the rows that some indexed rule's query finds, and those rules as bits. A row has a posting a trigram at most."""
+    return materialize(postings.groupBy("row").agg(queries.rules_of(F.col("gram")).alias("rules")).filter("rules != 0"), "secrets-candidates")
+
+
+def _blocks(found: DataFrame, most: int) -> list[tuple[int, int | None]]:
+    """Ranges of written partitions, the last one open, that have at most `most` candidates each, or are one partition."""
+    cuts, held = [0], 0
+    # A row for each written partition.
+    for part, n in sorted(tuple(r) for r in found.groupBy(part_of("row").alias("part")).count().collect()):
+        if held and held + n > most:
+            cuts.append(part)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], None], strict=True))
+
+
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE, *MORE), into: str = "__spans", keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """The columns `keep` of docs, all by default, and a column (`into`): array<struct<start, kind, end>>, kind the rule's
+    number, by start, then kind.
+
+    Null and empty texts have no span. Places count code points. Each row is searched alone: ties, repeated
     rows, null ids and other columns change nothing, and an empty table stays empty. A column that has the
-    name `into` already is an error.
+    name `into` already is an error. The index, the rows and the result are written; a task holds a text's
+    spans, and what is broadcast are the candidates of a block of partitions, `block` rows at most or one partition's.
     """
     if free(docs, into) != into:
         raise ValueError(f"there is a column {into!r} already")
-    queries = Queries(rules)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low, postings = free(docs, "__low"), free(docs, "__postings")
-    with_low = docs.withColumn(low, F.lower(text)).withColumn(postings, queries.postings(F.col(low))).drop(low)
+    keep, queries = docs.columns if keep is None else keep, Queries(rules)
+    rows, postings = index(docs, text_col, keep, queries)
+    found = candidates(postings, queries)
+    text = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def found_by(number: int, rule: Rule) -> Column:
         kind = F.lit(number).alias("kind")
-        found = F.transform(spans_of(text, rule), lambda x: F.struct(x["start"].alias("start"), kind, x["end"].alias("end")))
-        candidate = queries.candidate(rule.kind, F.col(postings))
-        return found if candidate is None else F.when(candidate, found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+        spans = F.transform(spans_of(text, rule), lambda x: F.struct(x["start"].alias("start"), kind, x["end"].alias("end")))
+        return spans if number in queries.full else F.when(F.col("rules").bitwiseAND(F.lit(1 << number)) != 0, spans).otherwise(none)
 
-    return with_low.withColumn(into, F.array_sort(F.concat(*[found_by(n, r) for n, r in enumerate(rules)]))).drop(postings)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in keep]
+    spans = F.array_sort(F.concat(none, *[found_by(n, r) for n, r in enumerate(rules)])).alias(into)
+    path = fresh_path(docs.sparkSession, "secrets")
+    for low, high in _blocks(found, block):
+        inside = (F.col("row") >= low << 33) & (F.lit(True) if high is None else F.col("row") < high << 33)
+        told = rows.drop("grams").filter(inside).join(F.broadcast(found.filter(inside)), "row", "left")
+        out = told.select(*columns, spans)
+        out.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +225,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("__spans")
     of = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=rules).select(
+    return scan(table(spark, sf_dir, "documents"), rules=rules, keep=["doc_id"]).select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(text(F.filter(spans, lambda x: x["kind"] < len(BASE))).cast("binary"), 256).alias("base_sha256"), text(spans).alias("spans"),
     )

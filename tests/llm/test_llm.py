@@ -224,6 +224,23 @@ def test_secrets(docs, empty):
         want = [(m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, r.text or "", re.ASCII) if len(m[rule.group]) >= rule.least]
         assert [tuple(x) for x in r["__spans"]] == sorted(want)
     assert secret_scan.scan(empty).count() == 0
+    # Candidates told to one partition after the other; a part of the columns; rows in no order.
+    few = {(r.doc_id, str(r["s"])) for r in secret_scan.scan(docs.repartition(7), into="s", keep=["doc_id"], block=1).collect()}
+    assert few == {(r.doc_id, str(r["__spans"])) for r in secret_scan.scan(docs).collect()}
+
+
+def test_postings_and_candidates(spark, docs):
+    """The index against every text and trigram, and the rows that each rule's query finds against the query itself."""
+    rules = (*secret_scan.BASE, *secret_scan.MORE)
+    queries = secret_scan.Queries(rules)
+    rows, postings = secret_scan.index(docs, "text", ["doc_id"], queries)
+    text = {r.row: (r.text or "").lower() for r in rows.collect()}
+    assert len(text) == docs.count() and queries.full == [2]
+    assert sorted(map(tuple, postings.collect())) == sorted((i, row) for row, t in text.items() for i, g in enumerate(queries.trigrams) if g in t)
+    got = {r.row: r.rules for r in secret_scan.candidates(postings, queries).collect()}
+    want = {row: sum(1 << n for n, terms in enumerate(queries.terms) if n not in queries.full and any(all(g in t for g in term) for term in terms)) for row, t in text.items()}
+    assert got == {row: bits for row, bits in want.items() if bits} and 0 < len(got) < len(text)
+    assert any(any(s.kind == 0 for s in r["__spans"]) for r in secret_scan.scan(docs).collect())
 
 
 def test_trigram_queries_hold_for_matches():
