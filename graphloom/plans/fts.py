@@ -71,7 +71,7 @@ def normalized(text: str) -> str:
     if not is_expert(text):
         return " OR ".join(bare_terms(text))
     out = []
-    for quoted, word in re.findall(r'((?:\(*(?:essence|content):)?"[^"]*"\)*\*?)|(\S+)', text):
+    for quoted, word in re.findall(r'(\(*(?:(?:essence|content):)?"[^"]*"\S*)|(\S+)', text):
         if quoted or word.strip("()") in OPERATORS or re.fullmatch(r"[\w()*]+", word) or re.fullmatch(r"\(*(essence|content):[\w*]+\)*", word):
             out.append(quoted or word)
             continue

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .functions.embedding import bag_of_words
 from .functions.metadata import matches, visible
 from .functions.scoring import cosine, cycle_recency, instant_recency, priority_boost, signals
+from .functions.segments import segments
 from .functions.temporal import live, valid_at
 from .functions.text import ACCENTED, PLAIN, ROLE_MARKERS, STARTERS, STOP_WORDS, char_windows, entities, paragraphs, tokens, truncated, word_windows
 from .operators import consolidation as C
 from .operators import derived as D
 from .operators import hygiene as H
+from .operators import reads as L
 from .operators import retrieval as R
 from .operators import store as S
 from .plans.mql import Engine
@@ -181,27 +183,20 @@ def _(g: Graph) -> DataFrame:
     return S.dangling(g.thought.filter("lifecycle_status = 'ACTIVE'"), g.edge, g.action, g.embedding)
 
 
-@query("d2_edge_counts", "SELECT edge_type, count(*) AS n FROM edge GROUP BY ROLLUP (edge_type)", "edge")
+@query("d2_counts", "SELECT 'thought' AS kind, thought_type AS type, lifecycle_status AS status, count(*) AS n FROM thought GROUP BY ROLLUP (thought_type, lifecycle_status) UNION ALL SELECT 'edge', edge_type, NULL, count(*) FROM edge GROUP BY ROLLUP (edge_type)", "thought", "edge")
 def _(g: Graph) -> DataFrame:
-    return g.edge.rollup("edge_type").agg(F.count("*").alias("n"))
-
-
-@query("d2_counts_rollup", "SELECT thought_type, lifecycle_status, count(*) AS n FROM thought GROUP BY ROLLUP (thought_type, lifecycle_status)", "thought")
-def _(g: Graph) -> DataFrame:
-    return g.thought.rollup("thought_type", "lifecycle_status").agg(F.count("*").alias("n"))
+    return L.counts(g.thought, g.edge)
 
 
 @query("d3_latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000)")
 def _(g: Graph) -> DataFrame:
-    last = g.base("events").orderBy(F.col("event_id").desc()).limit(1000)
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return last.agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    told = L.latency(g.base("events"), "value", "event_id")
+    return told.select(*[F.round(c, 6).alias(c) for c in told.columns])
 
 
 @query("d4_max_cycle", "SELECT coalesce(max(c), 0) AS max_cycle FROM (SELECT max(updated_cycle) AS c FROM thought UNION ALL SELECT max(created_cycle) FROM edge)", "thought", "edge")
 def _(g: Graph) -> DataFrame:
-    both = g.thought.agg(F.max("updated_cycle").alias("c")).unionByName(g.edge.agg(F.max("created_cycle").alias("c")))
-    return both.agg(F.coalesce(F.max("c"), F.lit(0)).alias("max_cycle"))
+    return L.max_cycle(g.thought, g.edge)
 
 
 @query("d5_action_outcome", "SELECT source_thought_id, round(avg(CASE WHEN status = 'FAILED' THEN 0.0 WHEN status = 'CONFIRMED' THEN CASE verification_status WHEN 'CONFIRMED' THEN 1.0 WHEN 'FAILED' THEN 0.0 ELSE 0.5 END END), 6) AS score FROM action GROUP BY 1", "action")
@@ -563,6 +558,11 @@ def _(g: Graph) -> DataFrame:
     return g.base("documents").select("doc_id", F.posexplode(char_windows(F.col("text"), 400, 300)).alias("pos", "segment"))
 
 
+@query("f12_segments", "SELECT doc_id, i::INT AS pos, substr(text, 1 + 300 * i, 400) AS content, (300 * i)::INT AS start, least(300 * i + 400, length(text))::INT AS \"end\" FROM (SELECT doc_id, text, unnest(range((length(text) - 400 + 299) // 300 + 1)) AS i FROM documents WHERE length(text) > 400)")
+def _(g: Graph) -> DataFrame:
+    return g.base("documents").select("doc_id", F.posexplode(segments(F.col("text"), "window")).alias("pos", "s")).select("doc_id", "pos", "s.content", "s.start", "s.end")
+
+
 @query("f12_split_words", r"SELECT doc_id, i::INT AS pos, array_to_string(y[1 + 40 * i:least(49 + 40 * i, len(w) - 1)], '') || w[least(50 + 40 * i, len(w))] AS segment FROM (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda k: w[k] || p[k + 1]) AS y, unnest(range((len(w) - 50 + 39) // 40 + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS p FROM documents) WHERE len(w) > 50)")
 def _(g: Graph) -> DataFrame:
     return g.base("documents").select("doc_id", F.posexplode(word_windows(F.col("text"), 50, 40)).alias("pos", "segment"))
@@ -735,7 +735,7 @@ def _(g: Graph) -> DataFrame:
     return C.promotion_scores(g.thought.filter("lifecycle_status = 'ACTIVE'"), CYCLE, custom={"long": (long, 0.35)}).select("thought_id", F.round("score", 6).alias("score"))
 
 
-_GATES = "(j IS NULL OR coalesce(json_extract_string(j, '$.content_type'), '') != 'code') AND 100 - created_cycle >= 1 AND score > {{over}} AND priority != 'P1' AND thought_type IN ('OBSERVATION')"
+_GATES = "(j IS NULL OR coalesce(json_extract_string(j, '$.content_type'), '') != 'code') AND 100 - created_cycle >= 1 AND score > {over} AND priority != 'P1' AND thought_type IN ('OBSERVATION')"
 
 
 @query("m5_promote", _M3 + f", sj AS (SELECT *, {_JSON} AS j FROM sc) SELECT thought_id, round(score, 6) AS score FROM sj WHERE {_GATES.format(over=0.4)} ORDER BY updated_cycle DESC, thought_id LIMIT (SELECT least(20, greatest(0, greatest(1, (count(*) * 0.3)::INT) - count(*) FILTER (priority = 'P1'))) FROM thought)", "thought")
@@ -799,16 +799,25 @@ def _(g: Graph) -> DataFrame:
     return g.edge.filter(at).join(rows.withColumnRenamed("thought_id", "from_thought_id"), "from_thought_id", "left_semi").join(rows.withColumnRenamed("thought_id", "to_thought_id"), "to_thought_id", "left_semi").select("edge_id")
 
 
-@query("a5_edges_both", "SELECT edge_id, weight FROM edge WHERE from_thought_id = 'd000000033' OR to_thought_id = 'd000000033' ORDER BY weight DESC, edge_id LIMIT 5", "edge")
-def _(g: Graph) -> DataFrame:
-    return g.edge.filter("from_thought_id = 'd000000033' OR to_thought_id = 'd000000033'").orderBy(F.col("weight").desc(), "edge_id").limit(5).select("edge_id", "weight")
+def _edges(name: str, direction: str, sql: str) -> None:
+    @query(name, f"SELECT edge_id, weight FROM edge WHERE {sql} ORDER BY weight DESC, edge_id LIMIT 5", "edge")
+    def _(g: Graph) -> DataFrame:
+        return L.get_edges(g.edge, "d000000033", direction, 5).select("edge_id", "weight")
+
+
+_edges("a5_edges_both", "BOTH", "from_thought_id = 'd000000033' OR to_thought_id = 'd000000033'")
+_edges("a5_edges_in", "IN", "to_thought_id = 'd000000033'")
+_edges("a5_edges_out", "OUT", "from_thought_id = 'd000000033'")
 
 
 @query("a3_list_thoughts", f"SELECT thought_id FROM thought WHERE priority = 'P2' AND visibility != 'private' AND updated_cycle BETWEEN 10 AND 60 AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') ORDER BY updated_cycle DESC, thought_id LIMIT 50", "thought")
 def _(g: Graph) -> DataFrame:
-    at = F.lit(NOW).cast("timestamp_ntz")
-    rows = g.thought.filter((F.col("priority") == "P2") & (F.col("visibility") != "private") & F.col("updated_cycle").between(10, 60) & (F.col("expires_at").isNull() | (F.col("expires_at") > at)))
-    return rows.orderBy(F.col("updated_cycle").desc(), "thought_id").limit(50).select("thought_id")
+    return L.list_thoughts(g.thought, _NOW, priority="P2", exclude_visibility="private", min_cycle=10, max_cycle=60).select("thought_id")
+
+
+@query("a3_list_provenance", "SELECT thought_id FROM thought WHERE json_extract_string(provenance, '$.run.id') = 'r2' AND visibility = 'public' ORDER BY updated_cycle DESC, thought_id LIMIT 20 OFFSET 10", "thought")
+def _(g: Graph) -> DataFrame:
+    return L.list_thoughts(g.thought, _NOW, visibility="public", include_expired=True, provenance=matches("provenance", [("$.run.id", "r2")]), limit=20, offset=10).select("thought_id")
 
 
 @query("b3_relational_join", "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' GROUP BY n_name")
@@ -834,26 +843,25 @@ def _(g: Graph) -> DataFrame:
     return g.base("conversations").rollup("role").agg(F.count("*").alias("turns"), F.round(F.avg(F.contains(F.lower("text"), F.lit("the")).cast("double")), 6).alias("hit_rate"))
 
 
-@query("a2_get", "SELECT thought_id, priority FROM thought WHERE thought_id = 'd000000042'", "thought")
+@query("a2_get", "SELECT thought_id, priority, 'seen' AS mark FROM thought WHERE thought_id = 'd000000042'", "thought")
 def _(g: Graph) -> DataFrame:
-    return g.thought.filter("thought_id = 'd000000042'").select("thought_id", "priority")
+    return L.get_thought(g.thought, "d000000042", on_retrieve=lambda df: df.withColumn("mark", F.lit("seen"))).select("thought_id", "priority", "mark")
 
 
-@query("a4_count_unexpired", f"SELECT count(*) AS n FROM thought WHERE thought_type = 'NOTE' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')", "thought")
+@query("a4_count_unexpired", f"SELECT count(*) AS \"count\" FROM thought WHERE thought_type = 'NOTE' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')", "thought")
 def _(g: Graph) -> DataFrame:
-    at = F.lit(NOW).cast("timestamp_ntz")
-    return g.thought.filter((F.col("thought_type") == "NOTE") & (F.col("expires_at").isNull() | (F.col("expires_at") > at))).agg(F.count("*").alias("n"))
+    return L.count_thoughts(g.thought, _NOW, thought_type="NOTE")
 
 
 @query("a6_list_edges", "SELECT edge_id, created_cycle FROM edge WHERE edge_type = 'ASSOCIATED' AND source = 'EXPERIENCE' ORDER BY created_cycle DESC, edge_id LIMIT 200", "edge")
 def _(g: Graph) -> DataFrame:
-    return g.edge.filter("edge_type = 'ASSOCIATED' AND source = 'EXPERIENCE'").orderBy(F.col("created_cycle").desc(), "edge_id").limit(200).select("edge_id", "created_cycle")
+    return L.list_edges(g.edge, "ASSOCIATED", "EXPERIENCE", limit=200).select("edge_id", "created_cycle")
 
 
 @query("a7_embedding_and_actions", "SELECT a.action_id, a.status, v.dimension::INT AS dimension FROM action a LEFT JOIN embedding v ON v.owner_id = a.source_thought_id WHERE a.source_thought_id = 'd000000014'", "action", "embedding")
 def _(g: Graph) -> DataFrame:
-    one = g.embedding.filter("owner_id = 'd000000014'").select(F.col("owner_id").alias("source_thought_id"), F.col("dimension").cast("int").alias("dimension"))
-    return g.action.filter("source_thought_id = 'd000000014'").join(one, "source_thought_id", "left").select("action_id", "status", "dimension")
+    one = L.get_embedding(g.embedding, "d000000014").select(F.col("owner_id").alias("source_thought_id"), F.col("dimension").cast("int").alias("dimension"))
+    return L.get_actions(g.action, "d000000014").join(one, "source_thought_id", "left").select("action_id", "status", "dimension")
 
 
 @query("a8_snapshot_round_trip", "SELECT thought_id, essence, created_cycle, confidence, created_at, valid_until, pinned::BIGINT AS pinned, metadata_json FROM thought", "thought")
