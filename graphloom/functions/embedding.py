@@ -35,10 +35,7 @@ def provided(text: Column, embed: Callable[[Sequence[str]], Sequence[Sequence[fl
     def run(texts):
         import pandas as pd
 
-        there = texts.notna()
-        out = pd.Series([None] * len(texts), dtype=object)
-        if there.any():
-            out[there] = [list(map(float, v)) for v in embed([prefix + t for t in texts[there]])]
-        return out
+        found = iter(embed([prefix + t for t in texts if t is not None]) if texts.notna().any() else ())
+        return pd.Series([None if t is None else list(map(float, next(found))) for t in texts], dtype=object)
 
     return run(text)

@@ -35,7 +35,8 @@ DEFAULTS = {"thought_type": "NOTE", "priority": "P3", "lifecycle_status": "ACTIV
 def upsert(thought: DataFrame, new: DataFrame, columns: Sequence[str] = MUTABLE) -> DataFrame:
     """thought with columns from new where new has the same content hash, and new's other rows; every other column stays as it is.
 
-    Of new rows with one hash the last, by id, wins; of known rows with one hash the first is changed.
+    Of new rows with one hash the last, by id, wins; of known rows with one hash the first is changed. The ids of
+    new's rows are new; create() tells those that aren't.
     """
     latest = new.withColumn("__n", F.row_number().over(W.partitionBy("content_hash").orderBy(F.col("thought_id").desc()))).filter("__n = 1").drop("__n")
     fresh = latest.select(*[F.col(c).alias(f"__{c}") for c in new.columns])
