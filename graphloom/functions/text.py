@@ -52,8 +52,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """text in lower case, Latin letters without their marks."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """text in lower case, Latin letters without their marks. Text of one byte a character has none."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, PLAIN))
+
+
+def fold(word: str) -> str:
+    """A word of a query as folded() would have it."""
+    return word.lower().translate(str.maketrans(ACCENTED, PLAIN))
 
 
 def tokens(*parts: Column) -> Column:
@@ -62,15 +67,17 @@ def tokens(*parts: Column) -> Column:
 
 
 def key_tokens(text: Column) -> Column:
-    """Words of three letters or more, in lower case, but for stop words and role markers."""
+    """Words of three letters or more, in lower case, but for stop words and role markers. Text without a bracket has no marker."""
+    bare = text
     for marker in ROLE_MARKERS:
-        text = F.regexp_replace(text, marker, " ")
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+", -1), lambda w: (F.char_length(w) >= 3) & ~w.isin(*STOP_WORDS))
+        bare = F.regexp_replace(bare, marker, " ")
+    bare = F.when(F.contains(text, F.lit("[")), bare).otherwise(text)
+    return F.filter(F.split(F.lower(bare), r"[^\p{L}\p{N}_]+", -1), lambda w: (F.char_length(w) >= 3) & ~w.isin(*STOP_WORDS))
 
 
 def ngrams(words: Column, n: int) -> Column:
     def grams(w: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        parts = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
         return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(parts)
 
     return let(words, grams)

@@ -229,14 +229,13 @@ def keywords(rows: DataFrame, top: int, order: str = "thought_id") -> DataFrame:
 def tfidf(rows: DataFrame, corpus: DataFrame, top: int = PHRASES) -> DataFrame:
     """(cluster_id, phrase, score): each cluster's best phrases of two and three words, by tf * ln((1 + N) / (1 + df)) to four places.
 
-    tf counts over a cluster's members, df over the corpus (thought_id, content), N is the corpus' size.
+    tf counts over a cluster's members, df over the corpus, a record a row, N is the corpus' size.
     """
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        words = key_tokens(F.col("content"))
-        return df.select(*keep, F.explode(let(words, lambda w: F.concat(ngrams(w, 2), ngrams(w, 3)))).alias("phrase"))
-
-    tf = grams(rows, "cluster_id").groupBy("cluster_id", "phrase").agg(F.count("*").alias("tf"))
-    df = grams(corpus, "thought_id").groupBy("phrase").agg(F.count_distinct("thought_id").alias("df"))
+    words = key_tokens(F.col("content"))
+    grams = let(words, lambda w: F.concat(ngrams(w, 2), ngrams(w, 3)))
+    tf = rows.select("cluster_id", F.explode(grams).alias("phrase")).groupBy("cluster_id", "phrase").agg(F.count("*").alias("tf"))
+    # A record counts once for a phrase, so partial sums of records meet.
+    df = corpus.select(F.explode(F.array_distinct(grams)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
     total = corpus.agg(F.count("*").alias("N"))
     scored = tf.join(df, "phrase", "left").join(F.broadcast(total)).withColumn("exact", F.col("tf") * F.ln((1 + F.col("N")) / (1 + F.coalesce("df", F.lit(0)))))
     w = W.partitionBy("cluster_id").orderBy(F.col("exact").desc(), "phrase")

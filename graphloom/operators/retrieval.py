@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.metadata import equals
 from ..functions.scoring import SEARCH_WEIGHTS, cosine, cycle_recency, instant_recency, priority_boost, redistribute
 from ..functions.temporal import live
-from ..functions.text import TOKEN
 from ..plans import fts
 
 #: Fixed values of BM25 and of the pools.
@@ -40,18 +39,18 @@ def bm25(thought: DataFrame, query: str | Sequence[str] | fts.Phrase | fts.Logic
     if not found:
         return thought.limit(0).select("thought_id", F.lit(0.0).alias("score"))
     f = lambda i: F.get("__f", F.lit(i))
-    length = sum((F.regexp_count(fts.column(c), F.lit(TOKEN)) for c in fts.FIELDS), F.lit(0))
-    all_ = thought.select(length.alias("__dl"), F.when(fts.possible(found), fts.counts(found)).alias("__f"))
+    all_ = thought.select(fts.length().alias("__dl"), fts.counts(found).alias("__f"))
     stats = all_.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(f(i) > 0).alias(f"__df{i}") for i in range(len(found))])
     ok = F.lit(True) if eligible is None else eligible
-    rows = thought.filter(ok & fts.possible(found)).select("thought_id", length.alias("__dl"), fts.counts(found).alias("__f"))
+    rows = thought.filter(ok & fts.possible(found)).select("thought_id", fts.length().alias("__dl"), fts.counts(found).alias("__f"))
     score = F.lit(0.0)
     for i in range(len(found)):
         df = F.col(f"__df{i}")
         idf = F.ln((F.col("__n") - df + 0.5) / (df + 0.5))
         score += F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * f(i) * (K1 + 1) / (f(i) + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
     hit = fts.matched(tree, {p: f(i) > 0 for i, p in enumerate(found)})
-    return rows.join(F.broadcast(stats)).filter(hit).select("thought_id", score.alias("score"))
+    # A test of both sides stays above the join, where the counts are there; below it they would be made once more for each phrase.
+    return rows.join(F.broadcast(stats)).filter(F.when(F.col("__n") > 0, hit).otherwise(False)).select("thought_id", score.alias("score"))
 
 
 def knn(embedding: DataFrame, owners: DataFrame, vector: Sequence[float], threshold: float = 0.0) -> DataFrame:

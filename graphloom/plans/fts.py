@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, folded, let
+from ..functions.text import SEPARATOR, TOKEN, fold, folded, let
 
 #: Columns that a filter may name, operators.
 FIELDS, OPERATORS = ("essence", "content"), ("AND", "OR", "NOT")
@@ -178,30 +178,38 @@ def matched(tree: Phrase | Logic, hit: dict[Phrase, Column]) -> Column:
     return reduce((lambda a, b: a & b) if tree.op == "AND" else (lambda a, b: a | b), parts)
 
 
-def column(name: str) -> Column:
-    """The column's text as it is searched."""
-    return folded(F.coalesce(F.col(name), F.lit("")))
+def parts() -> Column:
+    """A row's texts as they are searched."""
+    return F.struct(*[folded(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FIELDS])
 
 
-def counts(found: Sequence[Phrase]) -> Column:
-    """array<int>: how often each phrase stands in essence and content, which are split once."""
-    words = lambda c: F.filter(F.split(column(c), SEPARATOR, -1), lambda w: w != "")
+def length() -> Column:
+    """The tokens of both columns. Folding turns letters into letters, so the texts are counted as they are."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(c, F.lit(TOKEN)), F.lit(0)) for c in FIELDS])
+
+
+def _possible(found: Sequence[Phrase], x: Column) -> Column:
+    one = lambda p: reduce(lambda a, b: a | b, [F.contains(x[c], F.lit(fold(p.words[0]))) for c in FIELDS if p.field in (None, c)])
+    return reduce(lambda a, b: a | b, [one(p) for p in found])
+
+
+def possible(found: Sequence[Phrase]) -> Column:
+    """Whether a row's text contains any phrase's first word, as letters anywhere: a cheap test that every match passes."""
+    return let(parts(), lambda x: _possible(found, x))
 
+
+def counts(found: Sequence[Phrase]) -> Column:
+    """array<int>: how often each phrase stands in essence and content; null if no phrase's first word does. Texts are folded and split once."""
     def count(toks: Column, p: Phrase) -> Column:
-        terms = [folded(F.lit(w)) for w in p.words]
+        terms = [F.lit(fold(w)) for w in p.words]
         same = lambda w, i: F.startswith(w, terms[i]) if p.prefix and i == len(terms) - 1 else w == terms[i]
         if len(terms) == 1:
             return F.size(F.filter(toks, lambda w: same(w, 0)))
         rest = lambda k: reduce(lambda a, b: a & b, [F.coalesce(same(F.get(toks, k + i), i), F.lit(False)) for i in range(1, len(terms))])
         return F.size(F.filter(toks, lambda w, k: same(w, 0) & rest(k)))
 
-    def of(x: Column) -> Column:
-        return F.array(*[reduce(lambda a, b: a + b, [count(x[c], p) for c in FIELDS if p.field in (None, c)]) for p in found])
-
-    return let(F.struct(*[words(c).alias(c) for c in FIELDS]), of)
-
+    def of(toks: Column) -> Column:
+        return F.array(*[reduce(lambda a, b: a + b, [count(toks[c], p) for c in FIELDS if p.field in (None, c)]) for p in found])
 
-def possible(found: Sequence[Phrase]) -> Column:
-    """Whether a row's text contains any phrase's first word, as letters anywhere: a cheap test that every match passes."""
-    one = lambda p: reduce(lambda a, b: a | b, [F.contains(column(c), folded(F.lit(p.words[0]))) for c in FIELDS if p.field in (None, c)])
-    return reduce(lambda a, b: a | b, [one(p) for p in found])
+    split = lambda x: F.struct(*[F.split(x[c], SEPARATOR, -1).alias(c) for c in FIELDS])
+    return let(parts(), lambda x: F.when(_possible(found, x), let(split(x), of)))
