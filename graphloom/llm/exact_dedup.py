@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, beside, materialize, numbered, part_of, stripped, table, whole_groups, without
+from .common import attach, beside, drop_written, latest, materialize, numbered, part_of, stripped, table, whole_groups, without, written
 
 #: Rows that a filter serves, about, and its bits; both powers of two.
 ROWS, BITS = 1 << 13, 1 << 17
@@ -92,8 +92,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that document, and each says kept. A null id comes last, and a group of null ids keeps its rows. Extra
     columns are not read. An empty table gives an empty result.
     """
+    begin = written()
     rows, row = numbered(digest(docs, id_col, text_col), "digest")
     told, n = told_apart(rows, row)
+    drop_written(begin, latest())
     single = told.filter("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     sent = told.filter("maybe").select("doc_id", "sha", "n_points")
     groups = materialize(sent.groupBy("sha").agg(F.min(_best()).alias("best"), F.count("*").alias("group_size")).select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"), "digest-groups")
@@ -118,7 +120,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a null id's row goes if another row has its text, and rows of one id with different texts are judged one by one.
     Other columns stay as they are, whatever their names. An empty table stays empty."""
     rows, row = numbered(docs, "digest-rows")
+    begin = written()
     digests = materialize(digest(rows, id_col, text_col, F.col(row).alias("row")), "digest")
     sent = told_apart(digests, "row")[0].filter("maybe")
+    drop_written(begin, latest())
     kept = sent.groupBy("sha").agg(F.min(_best("row")).alias("best")).select(F.col("best.row").alias("row"))
     return without(rows, row, sent.select("row").join(kept, "row", "left_anti"))
