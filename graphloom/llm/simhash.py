@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, numbered, release_memory, table, whole_groups, without
+from .common import attach, drop_written, latest, materialize, numbered, release_memory, table, whole_groups, without, written
 from .components import connected_components
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
@@ -195,10 +195,13 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def components(prints: DataFrame, node: str, distance: int, *more: Column) -> DataFrame:
     """(fp, n, component_id, more aggregates) per fingerprint; component_id is the smallest node reachable over links."""
+    begin = written()
     classes = materialize(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n"), *more), "simhash-classes")
     roots = connected_components(links(classes, distance), "simhash-links")
     out = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    return materialize(out.drop("rep", "root"), "simhash-groups")
+    groups = materialize(out.drop("rep", "root"), "simhash-groups")
+    drop_written(begin, latest())
+    return groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
