@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import attach, beside, materialize, numbered, part_of, table, whole_groups, word_count
+from .common import attach, beside, drop_written, latest, materialize, numbered, part_of, table, whole_groups, word_count, written
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
 #: Words that dynamic programming fits at first, and at most; hash buckets in which a length's documents are counted.
@@ -131,6 +131,7 @@ def mix(
     the table. Documents without a word are never taken. Extra columns are not read. An empty table gives an
     empty result. Lengths and their counts of one source are fitted in one task, documents never are.
     """
+    begin = written()
     more = [] if row_col is None else [F.col(row_col).alias("row")]
     text_id = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
     rows = materialize(
@@ -149,6 +150,7 @@ def mix(
     plan = materialize(plan, "mix-plan")
     n_rows = rows.count()
     keyed = materialize(attach(rows, plan, "name", "n", n_rows).drop("name", "n").withColumn("of", F.shiftleft("k", 32) + F.col("size")), "mix-rows")
+    rows_path = latest()
     open_ = keyed.filter("size > 0 AND budget > 0")
     counted = materialize(open_.groupBy("k", "budget", "size", "of", "bucket").agg(F.count("*").alias("n")), "mix-lengths")
 
@@ -172,6 +174,7 @@ def mix(
         "mix-cuts",
     )
     chosen = materialize(attach(open_, groups, "of", "weight", n_rows), "mix-chosen")
+    drop_written(begin, rows_path, latest())
     edge = chosen.filter("bucket = cut").withColumn("rank", F.row_number().over(W.partitionBy("of").orderBy("h", "doc_id", *more)))
     out = [
         chosen.filter("bucket != cut").withColumn("more", (F.col("bucket") < F.col("cut")).cast("int")),
