@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, beside, fresh_path, materialize, numbered, open_path, part_of, table
+from .common import attach, beside, drop_written, fresh_path, materialize, numbered, open_path, part_of, table, written
 
 #: Bytes of a range, and of a read.
 RANGE, READ = 64 << 20, 1 << 20
@@ -64,7 +64,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     last and are named by an empty id. Extra columns are not written. An empty table writes empty files.
     Only (digest, id) pairs meet by payload, never the payloads.
     """
-    payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
+    begin, payload = written(), F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows, row = numbered(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")), "warc-pages")
     known = materialize(rows.filter(F.length("payload") >= least).select("id", F.sha1("payload").alias("sha"), F.col(row).alias("row")), "warc-digests")
     groups = known.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n"))
@@ -82,6 +82,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     lines = beside(rows, row, repeats.select(part_of("row").alias("part"), "row", "first"), members, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    drop_written(begin)
 
 
 class _Bytes:
