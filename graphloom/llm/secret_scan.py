@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, fresh_path, materialize, part_of, table
+from .common import drop_written, free, fresh_path, materialize, part_of, table, written
 from .quality_rules import let
 
 
@@ -192,12 +192,12 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BA
 
     Null and empty texts have no span. Places count code points. Each row is searched alone: ties, repeated
     rows, null ids and other columns change nothing, and an empty table stays empty. A column that has the
-    name `into` already is an error. The index, the rows and the result are written; a task holds a text's
-    spans, and what is broadcast are the candidates of a block of partitions, `block` rows at most or one partition's.
+    name `into` already is an error. The index and the rows are written and go when the result is; a task holds
+    a text's spans, and what is broadcast are the candidates of a block of partitions, `block` rows at most or one partition's.
     """
     if free(docs, into) != into:
         raise ValueError(f"there is a column {into!r} already")
-    keep, queries = docs.columns if keep is None else keep, Queries(rules)
+    begin, keep, queries = written(), docs.columns if keep is None else keep, Queries(rules)
     rows, postings = index(docs, text_col, keep, queries)
     found = candidates(postings, queries)
     text = F.coalesce("text", F.lit(""))
@@ -216,6 +216,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BA
         told = rows.drop("grams").filter(inside).join(F.broadcast(found.filter(inside)), "row", "left")
         out = told.select(*columns, spans)
         out.write.mode("append").parquet(path)
+    drop_written(begin, path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
