@@ -179,6 +179,23 @@ def test_tables_go_when_they_are_dropped(spark):
         spark.read.parquet(gone)
 
 
+@pytest.mark.parametrize(
+    ("left", "run"),
+    [
+        (1, secret_scan.scan), (2, exact_dedup.exact_duplicates), (2, simhash.near_duplicates), (2, mixing.mix), (3, exact_dedup.drop_copies), (4, simhash.keep_one), (4, mixing.repeat_documents),
+        (0, lambda docs: warc.write_archive(docs.selectExpr("doc_id AS page_id", "text AS url", "text AS html"), f"{shared_dir(docs.sparkSession)}/archive-{random.random()}")),
+    ],
+)
+def test_what_a_result_needs_is_left(spark, left, run):
+    """Tables that the result doesn't read go before it is returned, and the result can be read twice."""
+    docs = spark.createDataFrame([(i, f"the old mill by river {i % 5} turns slowly", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    begin = written()
+    out = run(docs)
+    assert written() - begin == left
+    if out is not None:
+        assert out.count() == out.count() > 0
+
+
 def test_warc_tells_damage_and_reads_any_path(spark):
     """A payload that isn't what its header claims, in an archive whose path has blanks, per cent signs and a hash mark."""
     path = fresh_path(spark, "a b%20c#d é")
