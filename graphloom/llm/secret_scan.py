@@ -9,12 +9,14 @@ candidates are told to blocks of written partitions, each block's by a broadcast
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import drop_written, free, fresh_path, materialize, part_of, table, written
 from .quality_rules import let
@@ -46,8 +48,9 @@ MORE = (
     Rule("private_key", r"BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
     Rule("slack", r"xox[bp]-[A-Za-z0-9-]{10,}"),
 )
-#: Alternatives of a literal that are told apart before the query is cut there; candidates that are broadcast at a time.
-_WAYS, BLOCK = 16, 1 << 18
+#: Alternatives of a literal that are told apart before the query is cut there; candidates that are broadcast for a block
+#: of partitions, 16 bytes each, and blocks that are searched at a time.
+_WAYS, BLOCK, _AT_A_TIME = 16, 1 << 20, 8
 
 Terms = frozenset[frozenset[str]]  # any of these sets of trigrams, each with all of its members
 _ANY: Terms = frozenset([frozenset()])
@@ -211,13 +214,20 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BA
     columns = [F.col("text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in keep]
     spans = F.array_sort(F.concat(none, *[found_by(n, r) for n, r in enumerate(rules)])).alias(into)
     path = fresh_path(docs.sparkSession, "secrets")
-    for low, high in _blocks(found, block):
+
+    def search(at: tuple[int, tuple[int, int | None]]) -> tuple[str, StructType]:
+        number, (low, high) = at
         inside = (F.col("row") >= low << 33) & (F.lit(True) if high is None else F.col("row") < high << 33)
         told = rows.drop("grams").filter(inside).join(F.broadcast(found.filter(inside)), "row", "left")
         out = told.select(*columns, spans)
-        out.write.mode("append").parquet(path)
+        out.write.parquet(f"{path}/{number}")
+        return f"{path}/{number}", out.schema
+
+    # Jobs of several blocks share the executors, so that a block's last tasks don't leave them idle.
+    with ThreadPoolExecutor(_AT_A_TIME) as pool:
+        done = list(pool.map(search, enumerate(_blocks(found, block))))
     drop_written(begin, path)
-    return docs.sparkSession.read.schema(out.schema).parquet(path)
+    return docs.sparkSession.read.schema(done[0][1]).parquet(*[x for x, _ in done])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
