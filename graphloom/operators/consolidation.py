@@ -18,7 +18,7 @@ from .graphs import components
 
 #: Promotion weights, thresholds of the gates, limits of a run.
 PROMOTION_WEIGHTS = {"recency": 0.25, "staleness": 0.20, "confirmation": 0.20, "confidence": 0.15, "frequency": 0.20, "action_outcome": 0.15}
-MAX_PERSONA, MIN_COHESION, MIN_EXTERNAL, MIN_SHARED_ENTITIES, MIN_SIZE, MAX_SIZE, SHARED_CONTENT = 0.75, 0.4, 0.95, 0.60, 3, 200, 2
+MAX_PERSONA, MIN_COHESION, MIN_EXTERNAL, MIN_SHARED_ENTITIES, MIN_SIZE, MAX_SIZE = 0.75, 0.4, 0.95, 0.60, 3, 200
 POOL, MIN_NEW_CANDIDATES, PHRASES, BOILERPLATE_SHARE, BOILERPLATE_CLUSTERS, BOILERPLATE_LEAST = 200, 50, 3, 0.30, 5, 1
 #: What tells a description of a persona, and what a conversation's turn.
 PERSONA, TURNS = ("born in 19", "born in 20", "is a ", "is the ", "is an ", "embracing their"), ("[USER]", "[ASSISTANT]", "[SYSTEM]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pyarrow as pa
@@ -48,12 +48,16 @@ def upsert(thought: DataFrame, new: DataFrame, columns: Sequence[str] = MUTABLE)
     return joined.select(*[F.when(known, changed(c)).otherwise(given(c)).alias(c) for c in thought.columns])
 
 
-def create(thought: DataFrame, new: DataFrame, now: datetime, *, deduplicate: bool = False, ttl_s: int | None = None, default_ttl_s: int | None = None) -> tuple[DataFrame, DataFrame]:
+def create(
+    thought: DataFrame, new: DataFrame, now: datetime, *, deduplicate: bool = False, ttl_s: int | None = None, default_ttl_s: int | None = None, on_store: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(thought with the new rows, new rows whose id is there already or repeats, which aren't stored).
 
     Expiry: the call's, else the row's own, else the store's default. With deduplicate a row whose content is
-    known, or came before in the batch, isn't stored and confirms the record that has it once more.
+    known, or came before in the batch, isn't stored and confirms the record that has it once more. on_store
+    enriches the rows that are stored.
     """
+    hook = on_store or (lambda df: df)
     at = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     after = lambda s: F.timestamp_add("SECOND", F.lit(s), at)
     own = F.col("expires_at") if "expires_at" in new.columns else F.lit(None).cast("timestamp_ntz")
@@ -65,11 +69,11 @@ def create(thought: DataFrame, new: DataFrame, now: datetime, *, deduplicate: bo
     conflict = rows.join(thought.select("thought_id"), "thought_id", "left_semi").unionByName(rows.filter("__nth > 1").join(thought.select("thought_id"), "thought_id", "left_anti")).drop("__nth")
     rows = rows.filter("__nth = 1").drop("__nth").join(thought.select("thought_id"), "thought_id", "left_anti")
     if not deduplicate:
-        return thought.unionByName(rows, allowMissingColumns=True), conflict
+        return thought.unionByName(hook(rows), allowMissingColumns=True), conflict
     told = get_or_create(thought, rows)
     hits = told.filter("NOT created").groupBy(F.col("thought_id").alias("__id")).agg(F.count("*").alias("__n"))
     created = rows.join(told.filter("created").select("thought_id"), "thought_id", "left_semi")
-    all_ = thought.unionByName(created, allowMissingColumns=True).join(hits, F.col("thought_id") == F.col("__id"), "left")
+    all_ = thought.unionByName(hook(created), allowMissingColumns=True).join(hits, F.col("thought_id") == F.col("__id"), "left")
     more = (F.coalesce("confirmation_count", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("confirmation_count")
     return all_.select(*[more if c == "confirmation_count" else F.col(c) for c in thought.columns]), conflict
 

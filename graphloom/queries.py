@@ -417,7 +417,6 @@ def l8_hybrid(g: Graph) -> DataFrame:
 
 _NEAR = """, u AS (SELECT edge_id, from_thought_id AS thought_id, to_thought_id AS other, weight FROM edge UNION ALL SELECT edge_id, to_thought_id, from_thought_id, weight FROM edge),
 ne AS (SELECT u2.thought_id, sum(weight * greatest(fts, cos) * 0.5) AS near FROM (SELECT *, row_number() OVER (PARTITION BY thought_id ORDER BY weight DESC, edge_id, other) AS rank FROM u) u2 JOIN pool ON pool.thought_id = u2.other WHERE rank <= 5 GROUP BY 1)"""
-_WITH_GRAPH = "(" + _BASE + " + 0.1 * coalesce(near, 0)) "
 
 
 @query("l12_graph", _POOL + _NEAR + f", sc AS (SELECT thought_id, (0.30 / 1.1) * fts + (0.55 / 1.1) * cos + (0.10 / 1.1) * exp(-ln(2) * greatest(0, 100 - updated_cycle) / 50.0) + (0.05 / 1.1) * CASE priority WHEN 'P1' THEN 1.0 WHEN 'P2' THEN 0.6 WHEN 'P3' THEN 0.3 ELSE 0.0 END + (0.1 / 1.1) * coalesce(near, 0) AS score FROM pool JOIN thought USING (thought_id) LEFT JOIN ne USING (thought_id)) SELECT thought_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, thought_id LIMIT 10", "thought", "embedding", "edge")

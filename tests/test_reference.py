@@ -268,6 +268,8 @@ def test_store(spark):
     out, conflict = S.create(rows, new, NOW, deduplicate=True, ttl_s=60)
     got = {r.thought_id: r for r in out.collect()}
     assert set(got) == {"t0", "t1", "n1"} and got["t0"].confirmation_count == 2 and got["n1"].confirmation_count == 1 and got["n1"].expires_at == datetime(2024, 2, 15, 0, 1) and ids(conflict) == ["t1"]
+    seen = S.create(rows, new, NOW, deduplicate=True, on_store=lambda df: df.withColumn("source", F.lit("hook")))[0]
+    assert ids(seen.filter("source = 'hook'")) == ["n1"]
     with pytest.raises(ValueError):
         S.bulk_store(rows, new, NOW)
     assert S.bulk_store(rows, new.filter("thought_id LIKE 'n%'"), NOW).count() == 5
@@ -455,6 +457,9 @@ def test_streams(spark, tmp_path):
     assert {(r.user_id, r.accesses) for r in counts.collect()} == {(1, 3), (2, 1), (3, 1)}
     sessions = result(access.sessions(access.events(spark, f"file://{tmp_path}/e")), "sessions")
     assert sorted((r.user_id, r.events) for r in sessions.collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    entries = spark.createDataFrame([(1, "ADD"), (2, "ADD")], "sequence_number long, mutation_type string")
+    entries.write.parquet(f"file://{tmp_path}/j")
+    assert result(access.journal(spark, f"file://{tmp_path}/j", entries.schema), "journal").count() == 2
     assert [access.due(c, 5) for c in (0, 4, 5, 10)] == [False, False, True, True]
     cycle = access.HighWater(thoughts(spark, {"updated_cycle": 4}), edges(spark).withColumn("created_cycle", F.lit(None).cast("long")))
     assert cycle() == 4 == cycle()
